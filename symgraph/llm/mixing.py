@@ -21,8 +21,9 @@ from .common import WS, checked, materialize
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
-#: Rows of a source that share a range, on average.
-RANGE_ROWS = 20_000
+#: Rows of a source that share a range, on average, up to 2^MAX_BITS ranges a source.
+RANGE_ROWS = 256
+MAX_BITS = 16
 KEY_BITS = 60
 
 
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, limit:
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(totals, weights, limit)
     # Of the 60 bits of the key, as many leading ones as make ranges of about range_rows rows.
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(range_rows)))).cast("int")
+    bits = F.least(F.lit(MAX_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(range_rows))))).cast("int")
     plan = materialize(
         targets.withColumn("shift", F.lit(KEY_BITS) - bits)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))

@@ -87,9 +87,11 @@ def bad_hosts(counts: DataFrame, bad_rate: int = BAD_RATE) -> DataFrame:
     m = F.col("s") / F.col("hosts")
     v = F.greatest(F.col("ss") / F.col("hosts") - m * m, F.lit(1.0))
     k = F.least(F.lit(float(PRIOR_MAX)), F.greatest(F.lit(float(PRIOR_MIN)), m * (F.lit(1e6) - m) / v - F.lit(1.0)))
-    fit = fit.select(m.alias("m"), k.alias("k"))
-    shrunk = (F.lit(1e6) * F.col("f") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
-    return counts.join(F.broadcast(fit)).where(shrunk > bad_rate).select("__host")  # fit is a single row
+    mean, weight = fit.select(m, k).first()  # two numbers, whatever the number of hosts
+    if mean is None:
+        mean, weight = 0.0, float(PRIOR_MIN)
+    shrunk = (F.lit(1e6) * F.col("f") + F.lit(weight) * F.lit(mean)) / (F.col("n") + F.lit(weight))
+    return counts.where(shrunk > bad_rate).select("__host")
 
 
 def quality_rules(docs: DataFrame, bad_rate: int = BAD_RATE, keep_columns: bool = False) -> DataFrame:

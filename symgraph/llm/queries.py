@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, licenses, mixing, packing, quality
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, mixing.op7_mixing, quality.op10_quality_rules]
+    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, mixing.op7_mixing, packing.op8_best_fit_packing, quality.op10_quality_rules]
     return {f.__name__: f for f in fs}
 
 
