@@ -47,10 +47,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_BLANK = bytes(32 if c in (9, 10, 13) else c for c in range(256))
+
+
 class WordEncoder:
-    """Ids of texts, word by word: white space always parts tokens of this vocabulary, so that the ids of
-    a text are those of its white-space-separated words in turn, and words recur. Ids are kept packed
-    (little-endian 32 bits). Special tokens' strings in a text are ordinary text."""
+    """Ids of texts, word by word: white space always parts tokens of this vocabulary, and letter case is
+    dropped, so that the ids of a text are those of its lower-cased words in turn, and words recur. Ids are
+    kept packed (little-endian 32 bits), in two generations: the older half of the cache goes when the
+    newer one is full. Special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str):
         import os
@@ -60,24 +64,63 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        #: Tokens that end a run of letters, digits or signs.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        whole = [x.isalpha() and x.lower().isalpha() for x in texts]  # words of letters: a single run of tokens each
+        rest = [i for i, x in enumerate(whole) if not x]
+        letters = [i for i, x in enumerate(whole) if x]
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                rest += part
+                continue
+            packed, lo = ids.tobytes(), 0
+            for i, hi in zip(part, ends.tolist(), strict=True):
+                self.cache[words[i]] = packed[lo:hi]
+                lo = hi
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                self.cache[words[i]] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put ``words`` into the cache. A full stop or comma after a letter is a token of its own."""
+        stems, ended = set(), []
+        for w in words:
+            if (ids := self.old.get(w)) is not None:
+                self.cache[w] = ids
+            elif w[-1:] in (b".", b",") and w.decode("utf-8", "replace")[-2:-1].isalpha():
+                ended.append(w)
+                if w[:-1] not in self.cache:
+                    stems.add(w[:-1])
+            else:
+                stems.add(w)
+        self._encode([w for w in {*stems, b".", b","} if w not in self.cache])
+        for w in ended:
+            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
+        split = [t.encode("utf-8", "replace").translate(_BLANK).lower().split(b" ") for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set().union(*split)
-        words = list(new)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            self.old, self.cache = self.cache, {}
+            new = words
+        self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, s)) for s in split]
-        for w in words:
-            if len(w) > CACHE_LENGTH:
-                del self.cache[w]
+        for w in [w for w in new if len(w) > CACHE_LENGTH]:
+            self.cache.pop(w, None)
+            self.cache.pop(w[:-1], None)
         return out
 
 
