@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality
+from . import chat, html, licenses, mixing, packing, quality, warc
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, mixing.op7_mixing, packing.op8_best_fit_packing, quality.op10_quality_rules]
+    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, html.op4_html_extraction, mixing.op7_mixing, packing.op8_best_fit_packing, warc.op9_warc, quality.op10_quality_rules]
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.OP1_SQL, "op7_mixing": mixing.OP7_SQL, "op10_quality_rules": quality.OP10_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op7_mixing": mixing.OP7_SQL, "op9_warc": warc.OP9_SQL, "op10_quality_rules": quality.OP10_SQL}
