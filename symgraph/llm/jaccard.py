@@ -37,7 +37,7 @@ from .components import components
 SHINGLE = 5
 #: Sizes of a band's sets are within this ratio; shingles per group at its upper end; chance to miss a pair.
 BAND_RATIO, GROUP_LOAD, MISS = 1.5, 5, 1e-9
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 
 
 @lru_cache(None)
@@ -133,6 +133,13 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
+def may_link(na: str, nb: str, xa: str, xb: str):
+    """Whether the sizes, and the bit sketches' Hamming distance as the least symmetric difference, let
+    two sets be linked; all in generated code."""
+    apart = sum((F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * apart <= F.col(na) + F.col(nb))
+
+
 class Join:
     """The join over one table of documents; nodes and whatever comes of them are written tables."""
 
@@ -151,16 +158,13 @@ class Join:
         return materialize(rows.where("(head <> node AND prior <> node) OR (head = node AND next <> node)").select("key", "node", "head"), "buckets")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` that sizes and bit sketches let be linked."""
+        """Those of the pairs ``a, b`` that sizes and bit sketches let be linked."""
         x = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
         y = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        apart = F.aggregate(F.zip_with("xa", "xb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        sizes = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-        return pairs.join(x, "a").join(y, "b").where(sizes & (7 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(may_link("na", "nb", "xa", "xb")).select(*pairs.columns)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link, by their whole sets."""
-        pairs = materialize(self.near(pairs), "near-pairs")
+        """Those of the pairs (materialized) that link, by their whole sets."""
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         need = materialize(need.join(self.nodes.select("node", "doc_id"), "node"), "needed")
         texts = self.docs.join(checked(need.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -174,21 +178,24 @@ class Join:
     def components(self) -> DataFrame:
         """``node, label``: nodes with links to others, and their components."""
         buckets = self.buckets()
-        # Each node is tested against the head that it shares most keys with.
-        shared = buckets.where("node <> head").groupBy("node", "head").count()
-        tested = materialize(shared.groupBy("node").agg(F.max_by("head", F.struct("count", "head")).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b")), "tested")
+        # Each node is tested against the head that it shares most keys with, of those that may link.
+        shared = buckets.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).count()
+        best = self.near(shared).groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        tested = materialize(best.select("a", "b"), "tested")
         links = self.verified(tested)
-        labels = components(links)
-        # Keys whose nodes are still apart: all pairs across components that have not been tested.
-        own = labels.select("node", "label")
-        rest = buckets.select("key", "node").join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-        rest = materialize(rest.join(open_keys, "key", "left_semi"), "open")
-        x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-        pairs = x.join(y, "key").where("la <> lb AND a < b").select("a", "b").distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "across")
-        more = self.verified(pairs)
-        return components(links.unionByName(more))
+        # Keys whose nodes are still apart: all pairs across components that may link and have not been tested.
+        rest = self._open(buckets, components(links))
+        rest = rest.join(self.nodes.select("node", "n", "bits"), "node")
+        x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb"))
+        pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
+        return components(links.unionByName(self.verified(pairs)))
+
+    def _open(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """``key, node, label`` of the keys whose nodes are in several components."""
+        rest = buckets.select("key", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keys = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+        return materialize(rest.join(keys, "key", "left_semi"), "open")
 
     def result(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` per document."""
