@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, checked, materialize
+from .common import WS, checked, materialize, words_of
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
@@ -91,6 +91,26 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, limit:
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: rows repeated once per epoch, and the row at each source's budget
+    cut to the words that still fit. Equal rows are taken together."""
+    rid = F.xxhash64("doc_id", "text", "source")
+    rows = docs.withColumn("__rid", rid)
+    ids = materialize(rows.select("__rid", "doc_id", "text", "source").groupBy("__rid").count().where("count > 1").select("__rid"), "equal-rows")
+    mix = mix_sources(docs.select(F.struct("doc_id", rid.alias("rid")).alias("doc_id"), "text", "source"), **options)
+    parts = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))
+    whole = F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")
+    mix = mix.groupBy(F.col("doc_id.rid").alias("__rid")).agg(F.sum(whole).alias("__whole"), F.collect_list(parts).alias("__parts"))
+    mix = materialize(mix.where((F.col("__whole") > 0) | (F.size("__parts") > 0)), "mix")
+    if ids.limit(1).count():
+        equal = rows.join(checked(ids), "__rid", "left_semi").dropDuplicates(["__rid"])
+        rows = rows.join(checked(ids), "__rid", "left_anti").unionByName(equal)
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.col("__parts"))
+    out = rows.join(checked(mix), "__rid").withColumn("__take", F.explode(takes))
+    cut = F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.lit(0), F.col("__take")).cast("int")), " ")
+    return out.withColumn("text", F.when(F.col("__take") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
