@@ -1,8 +1,7 @@
 """The corpus pipeline: quality rules, near duplicates, repeated substrings, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. Packing needs a tokenizer, which SQL lacks; the tests hold the pipeline against a
-brute-force version.
+``documents``. Packing needs a tokenizer, which SQL lacks.
 """
 
 from __future__ import annotations
