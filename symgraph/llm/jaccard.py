@@ -38,6 +38,7 @@ SHINGLE = 5
 #: Sizes of a band's sets are within this ratio; shingles per group at its upper end; chance to miss a pair.
 BAND_RATIO, GROUP_LOAD, MISS = 1.5, 5, 1e-9
 SKETCH_BITS = 1024
+HEADS = 3
 
 
 @lru_cache(None)
@@ -173,23 +174,29 @@ class Join:
         x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(x, "a").join(y, "b")
-        return materialize(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "verified")
+        return materialize(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "verified")
 
     def components(self) -> DataFrame:
         """``node, label``: nodes with links to others, and their components."""
         buckets = self.buckets()
-        # Each node is tested against the head that it shares most keys with, of those that may link.
+        # Each node is tested against those heads that may link with it, of the HEADS that it shares most keys
+        # with: this joins families early. Pairs left out here are met across components below.
         shared = buckets.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).count()
-        best = self.near(shared).groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-        tested = materialize(best.select("a", "b"), "tested")
-        links = self.verified(tested)
+        top = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), asc=False), 1, HEADS)  # a node has as many heads as keys at most
+        shared = shared.groupBy("b").agg(top.alias("top")).select("b", F.inline("top")).select("a", "b")
+        tested = materialize(self.near(shared), "tested")
+        labels = components(self.verified(tested))
         # Keys whose nodes are still apart: all pairs across components that may link and have not been tested.
-        rest = self._open(buckets, components(links))
+        rest = self._open(buckets, labels)
         rest = rest.join(self.nodes.select("node", "n", "bits"), "node")
         x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
         pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb"))
-        pairs = materialize(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "across")
-        return components(links.unionByName(self.verified(pairs)))
+        pairs = materialize(pairs.select("a", "b", "la", "lb").distinct().join(tested, ["a", "b"], "left_anti"), "across")
+        # Components of the first round are the nodes of the second.
+        joined = self.verified(pairs).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        higher = components(joined).select(F.col("node").alias("first"), F.col("label").alias("last"))
+        names = labels.unionByName(higher.select(F.col("first").alias("node"), F.col("first").alias("label"))).distinct()
+        return names.join(higher, names["label"] == higher["first"], "left").select("node", F.coalesce("last", "label").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
 
     def _open(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """``key, node, label`` of the keys whose nodes are in several components."""
