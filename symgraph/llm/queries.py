@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, html, jaccard, licenses, mixing, packing, quality, substrings, warc
+from . import chat, html, jaccard, licenses, media, mixing, packing, quality, substrings, warc
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, html.op4_html_extraction, jaccard.op5_ngram_jaccard_join, substrings.op6_substring_dedup, mixing.op7_mixing, packing.op8_best_fit_packing, warc.op9_warc, quality.op10_quality_rules]
+    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, media.op3_media_columns, html.op4_html_extraction, jaccard.op5_ngram_jaccard_join, substrings.op6_substring_dedup, mixing.op7_mixing, packing.op8_best_fit_packing, warc.op9_warc, quality.op10_quality_rules]
     return {f.__name__: f for f in fs}
 
 

@@ -6,10 +6,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.llm import chat, html, jaccard, licenses, mixing, packing, quality, substrings, warc
+from symgraph.llm import chat, html, jaccard, licenses, media, mixing, packing, quality, substrings, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, source string, n_words long, kept string"
@@ -136,6 +137,25 @@ def test_licenses():
     assert 200 < len(licenses.build_rules())
 
 
+def test_media(spark):
+    rnd = np.random.default_rng(5)
+    images = [np.clip(rnd.normal(128, 45, (8, 8)).repeat(8, 0).repeat(8, 1), 0, 255).astype(np.uint8) for _ in range(12)]
+    edits = [images[0], images[1][5:, 7:], np.rot90(images[2]), (images[3] * 0.7 + 30).astype(np.uint8), np.clip(images[4] + rnd.normal(0, 3, (64, 64)), 0, 255).astype(np.uint8)]
+    flat = np.full((20, 30), 7, np.uint8)
+    rows = [(i, x.shape[1], x.shape[0], x.tobytes(), 9) for i, x in enumerate([*images, *edits, flat, flat])]
+    rows += [(50, 3, 3, b"", 0), (51, None, 2, None, 0), (52, 9, 9, b"bad", 0), (None, 64, 64, rows[0][3], 0), rows[5]]
+    df = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary, node int")
+    got = media.image_copies(df).collect()
+    assert len(got) == len(rows)
+    found = {r["image_id"]: r["component_id"] for r in got}
+    want = {i: i for i in found} | {12 + k: k for k in range(5)} | {18: 17}
+    assert found == want
+    every = [media.features(x) for x in [*images, *edits]]  # brute force: all pairs
+    pairs = {(a, b) for a, b in itertools.combinations(range(17), 2) if media.inliers(every[a], every[b]) >= max(media.INLIERS, media.SHARE * min(len(every[a]), len(every[b])))}
+    assert pairs == {(k, 12 + k) for k in range(5)}
+    assert media.image_copies(df.limit(0)).count() == 0
+
+
 def test_html(spark):
     page = '<html><body><nav>M</nav><div class="cookie-notice">C</div><article><h1>T&amp;&lt;b&gt;</h1><p>a&nbsp;b <i>c</i>d<br>e<p>f<form>x</form><div class="comments"><p>no</p></div></article><aside>z</aside><footer>f</footer></body>'
     rows = [(1, "http://h/1", page, 1), (2, None, None, 2), (3, "http://h/3", "plain & text", 3), (1, "http://h/1", page, 1)]
