@@ -11,8 +11,8 @@ documents link when 100 * intersection >= 75 * union.
    shingles differ in at most (n + m) / 7, so some words stay equal; those are the join keys, and empty
    words are none. A band has as many words that a pair at the threshold misses all of them with a
    chance under ``MISS``; small sets are dealt several times for that.
-4. Candidates of a key meet its least node, not one another. After verification, only keys whose nodes
-   are still in several components give further pairs, across components, until none is untested.
+4. Candidates of a key meet its least node, then nodes drawn by hash, not one another. Only keys whose
+   nodes are still in several components after that give further pairs, all those across components.
 5. Verify. Bit sketches' Hamming distance first (a lower bound, so nothing is lost), then whole sets.
 
 Defined cases: null and wordless texts have no shingles and link with nothing; null ids stay alone, with
@@ -22,6 +22,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,8 @@ SHINGLE = 5
 BAND_RATIO, GROUP_LOAD, MISS = 1.5, 5, 1e-9
 SKETCH_BITS = 1024
 HEADS = 3
+#: Rounds of drawn nodes end with one that finds at most this part of the first round's links.
+FEW = 0.1
 
 
 @lru_cache(None)
@@ -186,17 +189,45 @@ class Join:
         shared = shared.groupBy("b").agg(top.alias("top")).select("b", F.inline("top")).select("a", "b")
         tested = materialize(self.near(shared), "tested")
         labels = components(self.verified(tested))
+        # Families that are still apart meet one another through other nodes of their keys, drawn by hash, a
+        # round at a time, until a round finds few links against the first; what is left, all pairs below join.
+        most = 0
+        for draw in itertools.count():
+            pairs = self._drawn(buckets, labels, tested, draw)
+            joined = self.verified(pairs)
+            tested = tested.unionByName(pairs.select("a", "b"))
+            found = joined.count()
+            most = most or found
+            if found:
+                labels = self._contracted(labels, joined)
+            if found <= most * FEW:
+                break
         # Keys whose nodes are still apart: all pairs across components that may link and have not been tested.
         rest = self._open(buckets, labels)
         rest = rest.join(self.nodes.select("node", "n", "bits"), "node")
         x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
         pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb"))
         pairs = materialize(pairs.select("a", "b", "la", "lb").distinct().join(tested, ["a", "b"], "left_anti"), "across")
-        # Components of the first round are the nodes of the second.
-        joined = self.verified(pairs).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        higher = components(joined).select(F.col("node").alias("first"), F.col("label").alias("last"))
+        return self._contracted(labels, self.verified(pairs))
+
+    def _drawn(self, buckets: DataFrame, labels: DataFrame, tested: DataFrame, draw: int) -> DataFrame:
+        """``a, b, la, lb``: untested pairs of a key's drawn node with its nodes of other components that may
+        link; of a node's pairs with one component, one."""
+        rest = self._open(buckets, labels)
+        heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("h"), F.col("label").alias("lh"))).alias("x")).select("key", "x.h", "x.lh")
+        pairs = rest.join(heads, "key").where("label <> lh")
+        turned = F.col("node") < F.col("h")
+        ordered = {"a": F.least("node", "h"), "b": F.greatest("node", "h"), "la": F.when(turned, F.col("label")).otherwise(F.col("lh")), "lb": F.when(turned, F.col("lh")).otherwise(F.col("label"))}
+        pairs = pairs.select("node", "lh", *[c.alias(k) for k, c in ordered.items()]).distinct().join(tested, ["a", "b"], "left_anti")
+        one = self.near(pairs).groupBy("node", "lh").agg(F.min(F.struct("a", "b", "la", "lb")).alias("x"))
+        return materialize(one.select("x.*").distinct(), "drawn")
+
+    def _contracted(self, labels: DataFrame, joined: DataFrame) -> DataFrame:
+        """``labels`` after the links ``la, lb`` between their components."""
+        higher = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select(F.col("node").alias("first"), F.col("label").alias("last"))
         names = labels.unionByName(higher.select(F.col("first").alias("node"), F.col("first").alias("label"))).distinct()
-        return names.join(higher, names["label"] == higher["first"], "left").select("node", F.coalesce("last", "label").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
+        found = names.join(higher, names["label"] == higher["first"], "left").select("node", F.coalesce("last", "label").alias("label"))
+        return materialize(found.groupBy("node").agg(F.min("label").alias("label")), "contracted")
 
     def _open(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """``key, node, label`` of the keys whose nodes are in several components."""
