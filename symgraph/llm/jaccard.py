@@ -41,7 +41,7 @@ BAND_RATIO, GROUP_LOAD, MISS = 1.5, 5, 1e-9
 SKETCH_BITS = 1024
 HEADS = 3
 #: Rounds of drawn nodes end with one that finds at most this part of the first round's links.
-FEW = 0.1
+FEW = 0.25
 
 
 @lru_cache(None)
@@ -215,7 +215,10 @@ class Join:
         link; of a node's pairs with one component, one."""
         rest = self._open(buckets, labels)
         heads = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)), F.col("node").alias("h"), F.col("label").alias("lh"))).alias("x")).select("key", "x.h", "x.lh")
-        pairs = rest.join(heads, "key").where("label <> lh")
+        # Of the nodes drawn for its keys, a node meets that one it shares most keys with; the others come in
+        # later rounds or in the join across components.
+        shared = rest.join(heads, "key").where("label <> lh").groupBy("node", "label", "h", "lh").count()
+        pairs = shared.groupBy("node", "label").agg(F.max(F.struct("count", "h", "lh")).alias("x")).select("node", "label", "x.h", "x.lh")
         turned = F.col("node") < F.col("h")
         ordered = {"a": F.least("node", "h"), "b": F.greatest("node", "h"), "la": F.when(turned, F.col("label")).otherwise(F.col("lh")), "lb": F.when(turned, F.col("lh")).otherwise(F.col("label"))}
         pairs = pairs.select("node", "lh", *[c.alias(k) for k, c in ordered.items()]).distinct().join(tested, ["a", "b"], "left_anti")
