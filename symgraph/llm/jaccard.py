@@ -203,10 +203,12 @@ class Join:
             if found <= most * FEW:
                 break
         # Keys whose nodes are still apart: all pairs across components that may link and have not been tested.
+        # A pair comes from the least of its common keys only: nodes carry their lesser keys along.
         rest = self._open(buckets, labels)
-        rest = rest.join(self.nodes.select("node", "n", "bits"), "node")
-        x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb"))
+        lesser = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        rest = rest.join(self.nodes.select("node", "n", "bits").join(lesser, "node"), "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
+        x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"), F.col("keys").alias(f"k{k}")) for k in "ab")
+        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb") & ~F.arrays_overlap("ka", "kb"))
         pairs = materialize(pairs.select("a", "b", "la", "lb").distinct().join(tested, ["a", "b"], "left_anti"), "across")
         return self._contracted(labels, self.verified(pairs))
 
