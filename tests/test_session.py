@@ -1,7 +1,10 @@
 """Extraction, store, refresh, change feed and package graph on small repositories."""
 
+import json
+
 import pytest
 
+from symgraph import cli
 from symgraph.functions.scanner import extract
 from symgraph.session import RepositorySession, memory_budget
 from symgraph.sources.store import store_path
@@ -85,3 +88,13 @@ def test_watch(spark, repo, tmp_path):
     q = watch(s, spark.readStream.schema(schema).parquet(feed), str(tmp_path / "at"), {"availableNow": True})
     q.awaitTermination(120)
     assert sorted(r[0].rsplit("/", 1)[1] for r in s.indexed_files().collect()) == ["__init__.py", "new.py"]
+
+
+def test_cli(spark, repo, tmp_path, capsys):
+    at = ["--repo", str(repo), "--store", f"file://{tmp_path}/index"]
+    said = lambda *args: (cli.main([*at, *args]), json.loads(capsys.readouterr().out))[1]
+    assert said("index")["file_count"] == 2
+    assert [n["name"] for n in said("query", "find-symbol", "--name-prefix", "HEL")["nodes"]] == ["helper"]
+    assert {n["name"] for n in said("query", "impact", "helper")["nodes"]} == {"keep", "main"}
+    assert said("query", "summary")["counts"][0]["files"] == 2
+    assert said("query", "crate-graph")["nodes"][0]["name"] == "pkg"
