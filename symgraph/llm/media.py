@@ -6,8 +6,10 @@
    smoothed pixels give 256 bits, which gain, offset and turning leave alone.
 4. Hamming tables. The bits are cut into ``BANDS`` words; two descriptors that differ in fewer than
    ``BANDS`` bits share a word at its place. Nodes of a word meet its least node (first round) and, across
-   the components that this gives, their neighbour in the word's order (second round): a word never gives
-   more pairs than nodes.
+   the components that this gives, their neighbour in the word's order (second round), which joins families
+   early. All pairs that share a word and are still in different components are tested after that, block of
+   nodes by block of nodes, so a hot word's pairs are many tasks and a block's features are sent once for each
+   block that it shares a word with.
 5. Consensus. Of each pair, mutually nearest descriptors propose a turn, a scale and a shift; the pair
    links when ``INLIERS`` matches, and a ``SHARE`` of the smaller image's corners, agree with one.
 
@@ -35,6 +37,8 @@ SCALES = (1.0, 0.7071, 0.5)
 PATCH, TESTS, BANDS = 8, 256, 8
 #: Most bits that matched descriptors differ in; pixels that an agreeing match may be off; what a link needs.
 BITS, OFF, INLIERS, SHARE = 40, 3.0, 8, 0.25
+#: Bytes of features and words in a block of nodes, about.
+BLOCK_BYTES = 1 << 20
 #: A corner's response is at least this, and this part of the image's strongest.
 LEAST, RELATIVE = 50.0, 0.005
 IMAGE = "image_id long, width int, height int, pixels binary"
@@ -163,15 +167,39 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "features", "keys"])
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    return inliers(a, b) >= max(INLIERS, SHARE * min(len(a), len(b)))
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for fa, fb in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True):
-            a, b = np.frombuffer(fa, FEATURE), np.frombuffer(fb, FEATURE)
-            keep.append(inliers(a, b) >= max(INLIERS, SHARE * min(len(a), len(b))))
+        pairs = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
+        keep = [linked(np.frombuffer(fa, FEATURE), np.frombuffer(fb, FEATURE)) for fa, fb in pairs]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _across(rows: pa.Table) -> pa.Table:
+    """Links ``a, b`` of two blocks (or within one): all pairs of different labels that share a word."""
+    rows = rows.sort_by("node")
+    nodes, labels, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
+    found = [np.frombuffer(f, FEATURE) for f in rows.column("features").to_pylist()]
+    words = rows.column("keys").combine_chunks()
+    of = np.repeat(np.arange(len(nodes)), np.diff(words.offsets.to_numpy()))
+    words = words.flatten().to_numpy()
+    one = block.min() == block.max()
+    out = []
+    for i in range(len(nodes)):
+        own = words[of == i]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        share = np.bincount(of[own[at] == words], minlength=len(nodes)) > 0
+        share[: i + 1] = False
+        for j in np.flatnonzero(share & (labels != labels[i]) & (one | (block != block[i]))):
+            if linked(found[i], found[j]):
+                out.append((nodes[i], nodes[j]))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 class Copies:
     """The search over one table of images; what comes of it are written tables."""
 
@@ -200,8 +228,23 @@ class Copies:
         apart = apart.withColumns({"prior": F.lag("node").over(over), "from": F.lag("label").over(over)}).where("from <> label")
         second = apart.select(F.least("prior", "node").alias("a"), F.greatest("prior", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         links = links.unionByName(self.verified(materialize(second, "second")))
+        links = links.unionByName(self.across(keys, components(links)))
         return links, components(links)
 
+    def across(self, keys: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between nodes of different components, of all pairs that share a word."""
+        size = self.nodes.agg(F.sum(F.length("features") + 8 * F.size("keys"))).first()[0] or 0
+        rest = keys.select("key", "node").join(checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+        block = F.pmod(F.xxhash64("node"), F.lit(1 + size // BLOCK_BYTES))
+        rest = materialize(rest.join(apart, "key", "left_semi").withColumn("block", block), "open")
+        # Of each two blocks with a common word, the nodes that hold one; their words stay with them.
+        other = rest.select("key", F.col("block").alias("other")).distinct()
+        sides = rest.join(other, "key").select("node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).distinct()
+        full = self.nodes.select("node", "features", F.array_sort("keys").alias("keys"))
+        found = sides.join(full, "node").groupBy("lo", "hi").applyInArrow(lambda x: _across(x), "a long, b long")
+        return materialize(found, "across")
+
     def result(self) -> DataFrame:
         links, labels = self.links()
         n = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
