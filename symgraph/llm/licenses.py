@@ -1,8 +1,8 @@
 """License scans: ordered signature rules with keyword gates and containment suppression.
 
 A text becomes its words (A-Z lower-cased; ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) with single spaces
-between. Each rule is a regular expression over that, gated by a keyword that the text must hold, with a
-priority. A detection inside an interval that a detection of the same or a higher priority covers is
+between. Each rule is a regular expression over that, gated by keywords, derived from it, of which the
+text must hold one, with a priority. A detection inside an interval that a detection of the same or a higher priority covers is
 suppressed (of equal intervals with equal priority the first rule's stays); the labels of the others
 remain. Base phrases are found at all their places, whatever the rules say.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +28,14 @@ SPDX, EXACT, URL, GRANT, NAME = 5, 4, 3, 2, 1
 CONFIDENCE = {SPDX: 1.0, EXACT: 0.95, URL: 0.9, GRANT: 0.8, NAME: 0.6}
 
 
+#: Bytes of a keyword that are sought first.
+START = 4
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
-    keyword: bytes
     pattern: str
 
 
@@ -101,8 +105,51 @@ def _words(version: str) -> str:
     return rf"v?{major}(?: {minor})?" if minor == "0" else rf"v?{major} {minor}"
 
 
-def _gate(name: str) -> bytes:
-    return b"licen" if "licen" in name else name.split()[0].encode()
+def _strings(tree, most: int = 16) -> list[str] | None:
+    """All strings that a parsed pattern matches, if it has at most ``most``."""
+    out = [""]
+    for op, x in tree:
+        if op is _parser.LITERAL:
+            some = [chr(x)]
+        elif op is _parser.IN and all(k is _parser.LITERAL for k, _ in x):
+            some = [chr(c) for _, c in x]
+        elif op is _parser.SUBPATTERN:
+            some = _strings(x[3])
+        elif op is _parser.BRANCH:
+            parts = [_strings(t) for t in x[1]]
+            some = None if None in parts else sum(parts, [])
+        elif op is _parser.MAX_REPEAT and x[:2] == (0, 1):
+            some = _strings(x[2])
+            some = some and ["", *some]
+        else:
+            some = None
+        if some is None or len(out) * len(some) > most:
+            return None
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def _needed(tree) -> list[str]:
+    """Strings of which whatever the parsed pattern matches holds at least one ([""]: none is known)."""
+    runs, found = [""], []
+    for item in tree:
+        some = _strings([item])
+        if some is not None and len(runs) * len(some) <= 16:
+            runs = [a + b for a in runs for b in some]
+            continue
+        found.append(runs)
+        runs = some or [""]
+        if some is None and item[0] is _parser.SUBPATTERN:
+            found.append(_needed(item[1][3]))
+        elif some is None and item[0] is _parser.BRANCH:
+            found.append([x for t in item[1][1] for x in _needed(t)])
+    return max([*found, runs], key=lambda x: (min(min(map(len, x)), 6), -len(x)))
+
+
+def keywords(rule: Rule) -> tuple[bytes, ...]:
+    """The rule's gate, from its own pattern: it matches no text that holds none of these."""
+    found = set(_needed(_parser.parse(f" (?:{rule.pattern}) ")))
+    return tuple(sorted(x.encode() for x in found if not any(y in x for y in found - {x})))
 
 
 def build_rules() -> list[Rule]:
@@ -115,40 +162,41 @@ def build_rules() -> list[Rule]:
             w = _words(v)
             later = r"(?:(?: only)|(?: or (?:\(?at your option )?(?:any )?later(?: version)?))?"
             dotted = v.replace(".", " ")
-            out.append(Rule(f"{label}-{v}", SPDX, b"spdx", rf"spdx licen[cs]e identifier {short} {dotted}(?: only| or later)?"))
-            out.append(Rule(f"{label}-{v}", EXACT, short.split()[0].encode(), rf"{short} ?{w}(?: only| or later)?"))
-            out += [Rule(f"{label}-{v}", EXACT, _gate(x), rf"{x}{VERSION}{w}{later}") for x in names]
-            out.append(Rule(f"{label}-{v}", URL, b" org ", url.format(v=dotted)))
-        out.append(Rule(label, GRANT, b"under", rf"{GRANTS}(?:{every}|{short})"))
-        out += [Rule(label, NAME, _gate(x), x) for x in names]
+            out.append(Rule(f"{label}-{v}", SPDX, rf"spdx licen[cs]e identifier {short} {dotted}(?: only| or later)?"))
+            out.append(Rule(f"{label}-{v}", EXACT, rf"{short} ?{w}(?: only| or later)?"))
+            out += [Rule(f"{label}-{v}", EXACT, rf"{x}{VERSION}{w}{later}") for x in names]
+            out.append(Rule(f"{label}-{v}", URL, url.format(v=dotted)))
+        out.append(Rule(label, GRANT, rf"{GRANTS}(?:{every}|{short})"))
+        out += [Rule(label, NAME, x) for x in names]
     for label, ids, names, url in PLAIN:
-        gate = max(re.sub(r"[^a-z0-9 ]", " ", url).split(), key=len).encode()
-        out.append(Rule(label, SPDX, b"spdx", rf"spdx licen[cs]e identifier (?:{ids})"))
-        out.append(Rule(label, URL, gate, url))
-        out.append(Rule(label, GRANT, b"under", rf"{GRANTS}(?:{names}|(?:{ids}) licen[cs]e)"))
-        out.append(Rule(label, NAME, b" ", rf"(?:{names})"))
+        out.append(Rule(label, SPDX, rf"spdx licen[cs]e identifier (?:{ids})"))
+        out.append(Rule(label, URL, url))
+        out.append(Rule(label, GRANT, rf"{GRANTS}(?:{names}|(?:{ids}) licen[cs]e)"))
+        out.append(Rule(label, NAME, rf"(?:{names})"))
     for kind in CC_KINDS:
         label = "cc-" + kind.replace(" ", "-")
         full = " ".join(CC_TERMS[x] for x in kind.split())
         for v in CC_VERSIONS:
             w = _words(v)
-            out.append(Rule(f"{label}-{v}", SPDX, b"spdx", rf"spdx licen[cs]e identifier cc {kind} {v.replace('.', ' ')}"))
-            out.append(Rule(f"{label}-{v}", EXACT, b" cc ", rf"cc {kind}(?: licen[cs]e)? {w}"))
-            out.append(Rule(f"{label}-{v}", EXACT, b"creative commons", rf"creative commons {full}(?: licen[cs]e)? ?{w}(?: (?:international|unported|generic))?"))
-            out.append(Rule(f"{label}-{v}", URL, b"creativecommons", rf"creativecommons org licenses {kind} {v.replace('.', ' ')}"))
-        out.append(Rule(label, NAME, b"creative commons", rf"creative commons {full}"))
-        out.append(Rule(label, NAME, b" cc ", rf"cc {kind}"))
+            out.append(Rule(f"{label}-{v}", SPDX, rf"spdx licen[cs]e identifier cc {kind} {v.replace('.', ' ')}"))
+            out.append(Rule(f"{label}-{v}", EXACT, rf"cc {kind}(?: licen[cs]e)? {w}"))
+            out.append(Rule(f"{label}-{v}", EXACT, rf"creative commons {full}(?: licen[cs]e)? ?{w}(?: (?:international|unported|generic))?"))
+            out.append(Rule(f"{label}-{v}", URL, rf"creativecommons org licenses {kind} {v.replace('.', ' ')}"))
+        out.append(Rule(label, NAME, rf"creative commons {full}"))
+        out.append(Rule(label, NAME, rf"cc {kind}"))
     return out
 
 
 class Scanner:
     def __init__(self, rules: list[Rule] | None = None):
         rules = build_rules() if rules is None else rules
-        self.by_keyword: dict[bytes, list[tuple[Rule, int, re.Pattern]]] = {}
+        self.by_keywords: dict[tuple[bytes, ...], list[tuple[Rule, int, re.Pattern]]] = {}
         for at, r in enumerate(rules):
-            self.by_keyword.setdefault(r.keyword, []).append((r, at, re.compile(rf"(?<= )(?:{r.pattern})(?= )".encode())))
-        #: One test that almost every text fails: no rule matches without one of these words.
-        self.any = re.compile(rb" (?:licen[cs]e[ds]?|gpl|lgpl|agpl|gfdl|mpl|epl|cddl|osl|afl|eupl|ecl|lppl|zpl|cpl|apsl|ofl|bsl|busl|odc|odbl|cecill|artistic|apache|under|org|net|copyright|openssl|zlib|wtfpl|com|mit|clause|bsd|cc|cc0|creative|unlicense|domain|reserved|confidential|eu|info|berkeley|distribution|spdx) ")
+            self.by_keywords.setdefault(keywords(r), []).append((r, at, re.compile(rf"(?<= )(?:{r.pattern})(?= )".encode())))
+        #: The keywords by their first bytes, which are few: most texts fail these.
+        self.by_starts: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = {}
+        for words in self.by_keywords:
+            self.by_starts.setdefault(tuple(sorted({w[:START] for w in words})), []).append(words)
         lower = bytearray(range(256))
         for c in range(256):
             if 65 <= c <= 90:
@@ -165,13 +213,13 @@ class Scanner:
 
     def detections(self, norm: bytes) -> list[tuple[int, int, Rule]]:
         """What remains of all matches: (start, end, rule), byte offsets in ``norm``."""
-        if not self.any.search(norm):
-            return []
         found = []
-        for keyword, rules in self.by_keyword.items():
-            if keyword in norm:
-                for r, at, pattern in rules:
-                    found += [(m.start(), m.end(), -r.priority, at, r) for m in pattern.finditer(norm)]
+        for starts, gates in self.by_starts.items():
+            if any(w in norm for w in starts):
+                for words in gates:
+                    if any(w in norm for w in words):
+                        for r, at, pattern in self.by_keywords[words]:
+                            found += [(m.start(), m.end(), -r.priority, at, r) for m in pattern.finditer(norm)]
         found.sort(key=lambda x: (x[0], -x[1], x[2], x[3]))
         reach: dict[int, int] = {}
         out = []

@@ -137,6 +137,38 @@ def test_licenses():
     assert 200 < len(licenses.build_rules())
 
 
+def test_license_gates():
+    s, rnd = licenses.Scanner(), random.Random(4)
+    labels = lambda t: s.scan(t)[5].split(",")
+    assert "gpl-3.0" in labels("this program is GPLv3 software") and "lgpl-2.1" in labels("see LGPLv2.1") and "agpl-3.0" in labels("AGPLv3") and "apache-2.0" in labels("an Apache2 module")
+    assert "unlicense" in labels("the unlicence") and "eupl-1.2" in labels("https://joinup.ec.europa.eu/license/eupl-1.2") and "busl-1.1" in labels("https://mariadb.com/bsl-1.1") and "cecill-2.1" in labels("http://cecill.info/licences/licence-cecill-v2.1")
+
+    def example(tree):
+        out = ""
+        for op, x in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(x)
+            elif name == "IN":
+                out += chr(rnd.choice(x)[1])
+            elif name == "SUBPATTERN":
+                out += example(x[3])
+            elif name == "BRANCH":
+                out += example(rnd.choice(x[1]))
+            else:
+                assert name == "MAX_REPEAT" and x[:2] == (0, 1)
+                out += example(x[2]) if rnd.random() < 0.5 else ""
+        return out
+
+    free = licenses.Scanner()  # without gates
+    free.by_keywords, free.by_starts = {(b"",): [x for some in free.by_keywords.values() for x in some]}, {(b"",): [(b"",)]}
+    for r in licenses.build_rules():
+        for _ in range(4):
+            text = f"q {example(re._parser.parse(r.pattern))} q"
+            norm = s.normalize(text)[0]
+            assert free.detections(norm) and s.detections(norm) == free.detections(norm), text
+
+
 def test_media(spark):
     rnd = np.random.default_rng(5)
     images = [np.clip(rnd.normal(128, 45, (8, 8)).repeat(8, 0).repeat(8, 1), 0, 255).astype(np.uint8) for _ in range(12)]
