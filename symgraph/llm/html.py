@@ -1,11 +1,13 @@
 """HTML main-text extraction with consensus host paths.
 
 1. Each page's containers are scored by the text that they hold near (a block counts in full for its
-   closest container, by halves for those around; link text counts against).
-2. Spark adds up the scores by host and generalised tag-class path (digits become 0); each host's
-   path with the highest sum wins. Sums are pre-aggregated, so a hot host is no hot task.
+   closest container, by halves for those around; link text counts against). A page's own container is the
+   outermost article or main around the highest score, or else the outermost one that adds clean text
+   (blocks that are not mostly links) to it.
+2. Spark counts these containers by host and generalised tag-class path (digits become 0); each host's
+   most frequent path wins. Counts are pre-aggregated, so a hot host is no hot task.
 3. Each page is extracted again from the containers at its host's winning path. Where a page has none,
-   or they hold little of its text, its own best container is taken.
+   or they lack more than a twentieth of its own container's clean text, its own is taken.
 
 Within the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out: by tag, ``role`` and words of ``class`` and ``id``.
@@ -47,13 +49,13 @@ _TAG = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
-#: A winning path is used on pages where it holds at least this share of the best container's score.
-LEAST_SHARE = 0.2
+#: A winning path is used on pages where it holds at least this share of the own container's clean text.
+LEAST_SHARE = 0.95
 BONUS = {"article": 3.0, "main": 2.0}
 
 
 class Page:
-    """Blocks of text outside boilerplate, and containers: [path, score, first block, end block]."""
+    """Blocks of text outside boilerplate, and containers: [path, score, first block, end block, parent, clean text]."""
 
     def __init__(self, html: str, by_words: bool = True):
         self.blocks: list[str] = []
@@ -71,9 +73,11 @@ class Page:
                 if text:
                     self.blocks.append(text)
                     worth = len(text) - 2 * linked
+                    clean = max(0, worth)
                     for _, c, _ in reversed(stack):
                         if c >= 0:
                             self.containers[c][1] += worth
+                            self.containers[c][5] += clean
                             worth /= 2
             linked = 0
 
@@ -124,26 +128,40 @@ class Page:
                 if tag in HOLDERS:
                     c = -1
                     if not skipped:
-                        above = next((self.containers[x][0] for _, x, _ in reversed(stack) if x >= 0), "")
+                        parent = next((x for _, x, _ in reversed(stack) if x >= 0), -1)
+                        above = self.containers[parent][0] if parent >= 0 else ""
                         name = tag + "".join(sorted("." + _DIGITS.sub("0", x) for x in classes.split()))
                         c = len(self.containers)
-                        self.containers.append([f"{above}>{name}", 0.0, len(self.blocks), 0])
+                        self.containers.append([f"{above}>{name}", 0.0, len(self.blocks), 0, parent, 0])
                     stack.append((tag, c, False))
         if not skipped and at < len(html):
             run.append(html[at:])
         close(0)
         for c in self.containers:
-            c[1] *= BONUS.get(c[0].rpartition(">")[2].partition(".")[0], 1.0)
+            c[1] *= BONUS.get(self.tag(c), 1.0)
+
+    @staticmethod
+    def tag(container: list) -> str:
+        return container[0].rpartition(">")[2].partition(".")[0]
 
     def best(self) -> list | None:
-        return max(self.containers, key=lambda c: c[1], default=None)
+        best = top = max(self.containers, key=lambda c: c[1], default=None)
+        marked = None
+        while top is not None:
+            if self.tag(top) in BONUS:
+                marked = top
+            if top[5] > best[5]:
+                best = top
+            top = self.containers[top[4]] if top[4] >= 0 else None
+        return marked or best
 
     def text(self, path: str | None) -> str:
         best = self.best()
         if best is None:
             return " ".join(self.blocks)
         at = [c for c in self.containers if c[0] == path]
-        if sum(c[1] for c in at) < LEAST_SHARE * best[1] or not at:
+        within = [c for c in at if best[2] <= c[2] and c[3] <= best[3] or c[2] <= best[2] and best[3] <= c[3]]
+        if sum(c[5] for c in within) < LEAST_SHARE * best[5] or not within:
             at = [best]
         out, done = [], 0
         for c in at:  # in page order; nested ones are in their parents
@@ -160,16 +178,11 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         host, path, vote = [], [], []
         for h, html in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            page = Page(html.as_py() or "")
-            best = max([0.0, *(c[1] for c in page.containers)])
-            sums: dict[str, float] = {}
-            for c in page.containers:
-                if c[1] > 0.5 * best:
-                    sums[c[0]] = sums.get(c[0], 0.0) + c[1]
-            for p, x in sums.items():
+            best = Page(html.as_py() or "").best()
+            if best is not None:
                 host.append(h)
-                path.append(p)
-                vote.append(min(1000, round(1000 * x / best)))
+                path.append(best[0])
+                vote.append(1)
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(vote, pa.int64())], names=["host", "path", "vote"])
 
 

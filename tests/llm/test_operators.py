@@ -214,6 +214,25 @@ def test_html(spark):
     assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "plain & text", 12)]
 
 
+def test_html_whole_article(spark):
+    long = "long text of the article, " * 40
+    pages = [
+        f"<body><article><h1>Title</h1><p>lead</p><div><div><p>{long}</p></div></div></article>x</body>",
+        f"<body><nav>menu</nav><div class=a><h1>Title</h1><p>lead</p><blockquote>{long}</blockquote></div></body>",
+        f"<body><div><h1>Title</h1><div><p>lead</p></div><section><ul><li>{long}</ul></section></div><div><a href=x>link</a></div></body>",
+        f"<body><main><h1>Title</h1><p>lead</p><article><p>{long}</article></main></body>",
+    ]
+    want = f"Title lead {long}".strip()
+    assert [html.extract_text(p) for p in pages] == [want] * 4
+    # Most pages of the host have their text in a div; on the last one such a div holds a third only.
+    usual = f"<body><div class=t>{long}</div></body>"
+    other = f"<body><div class=t>start</div><article>{long}<div>{long}</div></article></body>"
+    half = f"<body><div class=t>{long}</div><section>{long}{long}</section></body>"
+    rows = [(i, "http://h/", p) for i, p in enumerate([usual, usual, usual, other, half])]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == long.strip() and got[3] == f"{long}{long}".strip() and got[4] == f"{long}{long}{long}".strip()
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a.b/x", big), (5, "http://a.b/y\t", big), (3, None, big), (4, "http://c/", "small"), (6, "http://c/", "small"), (None, "u", big), (7, "bad\nurl", None)]
