@@ -41,8 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs)
+    """Token sequences of at most 4096 tokens: each piece's place and its ids."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES = [

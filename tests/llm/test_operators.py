@@ -100,6 +100,15 @@ def test_packing(docs):
     assert len(used) <= -(-total // 512) + 1
 
 
+def test_pipeline_gives_token_ids(docs, spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.packing_stage(spark, docs[0], "").collect()
+    assert sum(r["length"] for r in got) > 1000
+    for r in got:
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+
+
 def test_mixing(docs):
     df, rows = docs
     got = mixing.mix_sources(df).collect()
