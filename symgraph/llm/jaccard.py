@@ -257,17 +257,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id (rows with null id stay)."""
-    found = jaccard_components(docs).where("component_id < doc_id").select("doc_id").distinct()
-    gone = materialize(found, "copies")
-    return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with exactly one of each component: that with the smallest id (null ids last).
+
+    Rows go by a 64-bit hash of id and text, so null and repeated ids are joined like others, and equal rows
+    are one; rows without words link with nothing and all stay."""
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = jaccard_components(docs.select(row.alias("doc_id"), "text")).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("rows"))
+    ids = docs.select(row.alias("__row"), F.col("doc_id").cast("long").alias("id")).distinct()
+    found = materialize(found.join(ids, "__row"), "row-components")
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
+    first = materialize(first.where("n > 1").select("component_id", F.col("first.__row").alias("first")), "first-rows")
+    gone = materialize(found.join(checked(first), "component_id").where("__row <> first").select("__row"), "copies")
+    again = materialize(found.where("rows > 1").select("__row"), "repeated-rows")
+    kept = docs.withColumn("__row", row).join(checked(gone), "__row", "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    once = kept.join(checked(again), "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.join(checked(again), "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

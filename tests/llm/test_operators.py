@@ -46,6 +46,17 @@ def test_jaccard(docs):
         assert r["n_shingles"] == len(sets[r["doc_id"]]) and r["component_id"] == label.get(r["doc_id"])
 
 
+def test_keep_one_of_odd_rows(spark):
+    rnd = random.Random(6)
+    make = lambda: " ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 99)) for _ in range(80))
+    x, y, z, clean, other = (make() for _ in range(5))
+    rows = [(1, x), (1, x), (1, x + " end"), (None, x), (None, y), (None, y + " end"), (2, z), (7, z), (7, clean), (None, other), (None, None), (4, ""), (4, "")]
+    got = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")).select("doc_id", "text").collect()]
+    assert len(got) == 8 and got.count((None, None)) == 1 and got.count((4, "")) == 2
+    assert {(2, z), (7, clean), (None, other)} <= set(got) and (7, z) not in got
+    assert sum(r in got for r in ((1, x), (1, x + " end"))) == 1 and sum(r in got for r in ((None, y), (None, y + " end"))) == 1 and (None, x) not in got
+
+
 def test_substrings(docs):
     df, rows = docs
     places = {}
