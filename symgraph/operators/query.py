@@ -26,6 +26,7 @@ class SymbolFilter:
     name_contains: str | None = None
     name_prefix: str | None = None
     limit: int | None = 50
+    unlimited: bool = False
 
 
 def _lower(x: str) -> str:
@@ -58,7 +59,7 @@ class Graph:
             n = n.where(ascii_lower(F.col("name")).contains(_lower(f.name_contains)))
         if f.name_prefix is not None:
             n = n.where(ascii_lower(F.col("name")).startswith(_lower(f.name_prefix)))
-        return n.orderBy("id").limit(50 if f.limit is None else f.limit)
+        return n if f.unlimited else n.orderBy("id").limit(50 if f.limit is None else f.limit)
 
     def neighbours(self, target: str, kinds: tuple[str, ...], inbound: bool) -> tuple[DataFrame, DataFrame]:
         """Edges of ``kinds`` into (or out of) the target, and the target with their endpoints."""

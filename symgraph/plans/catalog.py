@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,9 @@ FROM s WHERE raw > 0 ORDER BY score DESC, name, id LIMIT 20""",
     }
     for name, (f, where) in filters.items():
         out[f"find_symbol_{name}"] = (lambda g, t, f=f: n(g.find_symbol(f)), f"SELECT {NODES} FROM nodes WHERE kind = 'Symbol' AND {where} ORDER BY id LIMIT {f.limit}")
+        if name in ("name", "kind", "contains", "prefix"):
+            every = replace(f, unlimited=True)
+            out[f"find_symbol_{name}_all"] = (lambda g, t, f=every: n(g.find_symbol(f)), f"SELECT {NODES} FROM nodes WHERE kind = 'Symbol' AND {where}")
     for direction, depth in (("outbound", 0), ("outbound", 1), ("outbound", 3), ("inbound", 2), ("both", 2)):
         target = PLATE if direction == "inbound" else SUPPLIER
         walk = _walk(target, depth, "'DependsOn'", direction)

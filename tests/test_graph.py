@@ -51,6 +51,18 @@ def test_find(chain):
         chain.resolve("nothing")
 
 
+def test_find_unlimited(spark):
+    nodes = spark.createDataFrame([(f"id{i}", "Symbol", f"name{i}", f"m::name{i}", "Class") for i in range(1200)], "id string, kind string, name string, fq_name string, symbol_kind string")
+    g = Graph(nodes, None)
+    for f in ({"kind": "Class"}, {"name_contains": "AME"}, {"name_prefix": "Name"}):
+        assert g.find_symbol(SymbolFilter(**f, unlimited=True)).count() == 1200 and g.find_symbol(SymbolFilter(**f)).count() == 50
+
+
+@pytest.mark.parametrize("name", ["find_symbol_name_all", "find_symbol_kind_all", "find_symbol_contains_all", "find_symbol_prefix_all"])
+def test_sql_unlimited(spark, name):
+    test_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", ["nodes_build", "edges_dependson", "external_modules", "impact_d1_edges", "explain"])
 def test_sql(spark, name):
     con = duckdb.connect()
