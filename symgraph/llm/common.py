@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,18 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only below this many rows (measured, not estimated); beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only below this many rows (counted) and bytes of its Parquet files; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Bytes of text that the numpy kernels work on at once (a longer single document is one slice).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, if all tasks run in
+    this process (tests); on a cluster executors would not see one another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,17 +60,12 @@ def drop_tables() -> None:
         _tables.clear()
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished, no longer referenced queries."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (it should be materialized);
-    else unchanged: then the join shuffles both sides, and AQE splits hot keys."""
+def checked(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (of materialized tables) with a broadcast hint if it has at most ``limit`` rows and its files
+    at most ``size`` bytes for its columns; else unchanged: then the join shuffles both sides, and AQE
+    splits hot keys."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > size:
+        return df
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

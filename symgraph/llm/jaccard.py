@@ -6,14 +6,18 @@ documents link when 100 * intersection >= 75 * union.
 1. Documents with equal sets are one node (a third of all rows may be one).
 2. Sketch. The shingles are dealt to G groups by hash, and each group's hashes are XORed to a word. A
    shingle that only one of two sets has changes one word, so the number of words that differ is at most
-   the symmetric difference; so is the Hamming distance of bit sketches with one parity bit per hash.
+   the symmetric difference; so is the Hamming distance of bit sketches with one parity bit per hash. Bit
+   sketches grow with the set (``sketch_bits``), at least four times the most that linked sets may differ
+   in, so that they tell long texts apart as well; a sketch of twice the length folds to the shorter.
 3. Pigeonhole join per size band (sets within 4/3 of each other meet in a band). Linked sets of n and m
    shingles differ in at most (n + m) / 7, so some words stay equal; those are the join keys, and empty
    words are none. A band has as many words that a pair at the threshold misses all of them with a
    chance under ``MISS``; small sets are dealt several times for that.
 4. Candidates of a key meet its least node, then nodes drawn by hash, not one another. Only keys whose
-   nodes are still in several components after that give further pairs, all those across components.
-5. Verify. Bit sketches' Hamming distance first (a lower bound, so nothing is lost), then whole sets.
+   nodes are still in several components after that give further pairs, all those across components; of a
+   key's largest component no two nodes are compared, however many it has.
+5. Verify. Bit sketches' Hamming distance first (a lower bound, so nothing is lost), then whole sets. A
+   set goes once to each of its pairs' tasks, and that of a node with many pairs once for HUB_PAIRS of them.
 
 Defined cases: null and wordless texts have no shingles and link with nothing; null ids stay alone, with
 null component; repeated rows with the same id are one document; ties take the least id; an empty table
@@ -38,10 +42,13 @@ from .components import components
 SHINGLE = 5
 #: Sizes of a band's sets are within this ratio; shingles per group at its upper end; chance to miss a pair.
 BAND_RATIO, GROUP_LOAD, MISS = 1.5, 5, 1e-9
+#: Bits of the shortest sketches.
 SKETCH_BITS = 1024
 HEADS = 3
-#: Rounds of drawn nodes end with one that finds at most this part of the first round's links.
+#: Rounds of drawn nodes end with one that finds at most this part of the links that the heads gave.
 FEW = 0.25
+#: Pairs of a node that are tested by one task.
+HUB_PAIRS = 1000
 
 
 @lru_cache(None)
@@ -78,9 +85,16 @@ def sketch_words(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of ``n`` shingles, a power of 2: linked sets of n and at most 4 n / 3 shingles
+    differ in at most n / 3 of them, and their sketches' lengths are equal or one is twice the other."""
+    return max(SKETCH_BITS, 1 << (2 * n - 1).bit_length())
+
+
 def bit_sketch(shingles: np.ndarray) -> np.ndarray:
     """Parities of the numbers of hashes at each bit, as 64-bit words."""
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    bits = sketch_bits(len(shingles))
+    odd = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -139,11 +153,40 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def may_link(na: str, nb: str, xa: str, xb: str):
     """Whether the sizes, and the bit sketches' Hamming distance as the least symmetric difference, let
-    two sets be linked; all in generated code."""
-    apart = sum((F.bit_count(F.get(xa, F.lit(i)).bitwiseXOR(F.get(xb, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    two sets be linked. Short sketches are compared in generated code."""
+    a, b, words = F.col(xa), F.col(xb), SKETCH_BITS // 64
+
+    def folded(x, to):  # the halves of a longer sketch, XORed
+        half = lambda k: F.slice(x, F.size(to) * k + 1, F.size(to))
+        return F.when(F.size(x) > F.size(to), F.zip_with(half(F.lit(0)), half(F.lit(1)), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    short = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(words)), F.lit(0))
+    long = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
+    apart = F.when((F.size(a) == words) & (F.size(b) == words), short).otherwise(long)
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * apart <= F.col(na) + F.col(nb))
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (hub, part, place), with a hub's set at the start of each part, the places of the
+    pairs whose sets link."""
+    at, hub = None, None
+    for batch in batches:
+        keys = list(zip(batch.column("hub").to_pylist(), batch.column("part").to_pylist(), strict=True))
+        places, sets, out = batch.column("place").to_pylist(), batch.column("shingles"), []
+        for i, place in enumerate(places):
+            own = sets[i].values.to_numpy().view(np.uint64)
+            if place < 0:
+                at, hub = keys[i], own.copy()
+                continue
+            if keys[i] != at:
+                raise ValueError("a pair without its hub's set")
+            common = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
+            if 100 * common >= 75 * (len(hub) + len(own) - common):
+                out.append((*at, place))
+        hubs, parts, found = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(parts, pa.int64()), pa.array(found, pa.int64())], names=["hub", "part", "place"])
+
+
 class Join:
     """The join over one table of documents; nodes and whatever comes of them are written tables."""
 
@@ -174,10 +217,20 @@ class Join:
         texts = self.docs.join(checked(need.select("doc_id").distinct()), "doc_id", "left_semi")
         sets = texts.mapInArrow(_whole_sets, "node long, shingles array<long>")
         sets = materialize(sets.join(checked(need.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-        common = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.join(x, "a").join(y, "b")
-        return materialize(both.where(100 * common >= 75 * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns), "verified")
+        # The node of a pair that has more pairs is its hub; a hub's pairs are dealt to parts.
+        many = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("many"))
+        many = materialize(many, "degrees")
+        more = [checked(many).select(F.col("node").alias(k), F.col("many").alias(f"m{k}")) for k in "ab"]
+        dealt = pairs.join(more[0], "a").join(more[1], "b")
+        first = F.col("ma") >= F.col("mb")
+        dealt = dealt.withColumns({"hub": F.when(first, F.col("a")).otherwise(F.col("b")), "other": F.when(first, F.col("b")).otherwise(F.col("a"))})
+        parts = F.ceil(F.greatest("ma", "mb") / HUB_PAIRS)
+        dealt = materialize(dealt.withColumns({"part": F.pmod(F.xxhash64("other"), parts), "place": F.monotonically_increasing_id()}).drop("ma", "mb"), "dealt")
+        own = sets.withColumnRenamed("node", "hub").join(dealt.select("hub", "part").distinct(), "hub").withColumn("place", F.lit(-1).cast("long"))
+        each = dealt.select("hub", "part", "place", F.col("other").alias("node")).join(sets, "node").drop("node")
+        rows = own.unionByName(each).repartition("hub", "part").sortWithinPartitions("hub", "part", "place")
+        found = rows.mapInArrow(_linked, "hub long, part long, place long").select("place")
+        return materialize(dealt.join(found, "place", "left_semi").select(*pairs.columns), "verified")
 
     def components(self) -> DataFrame:
         """``node, label``: nodes with links to others, and their components."""
@@ -188,28 +241,31 @@ class Join:
         top = F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), asc=False), 1, HEADS)  # a node has as many heads as keys at most
         shared = shared.groupBy("b").agg(top.alias("top")).select("b", F.inline("top")).select("a", "b")
         tested = materialize(self.near(shared), "tested")
-        labels = components(self.verified(tested))
+        links = self.verified(tested)
+        labels = components(links)
         # Families that are still apart meet one another through other nodes of their keys, drawn by hash, a
-        # round at a time, until a round finds few links against the first; what is left, all pairs below join.
-        most = 0
+        # round at a time, as long as that finds many links; what is left, all pairs below join.
+        few = links.count() * FEW
         for draw in itertools.count():
             pairs = self._drawn(buckets, labels, tested, draw)
             joined = self.verified(pairs)
             tested = tested.unionByName(pairs.select("a", "b"))
             found = joined.count()
-            most = most or found
             if found:
                 labels = self._contracted(labels, joined)
-            if found <= most * FEW:
+            if found <= few:
                 break
         # Keys whose nodes are still apart: all pairs across components that may link and have not been tested.
-        # A pair comes from the least of its common keys only: nodes carry their lesser keys along.
+        # A pair comes from the least of its common keys only: nodes carry their lesser keys along. One node of
+        # each pair is outside the key's largest component.
         rest = self._open(buckets, labels)
         lesser = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
         rest = rest.join(self.nodes.select("node", "n", "bits").join(lesser, "node"), "node").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
-        x, y = (rest.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"), F.col("keys").alias(f"k{k}")) for k in "ab")
-        pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & may_link("na", "nb", "xa", "xb") & ~F.arrays_overlap("ka", "kb"))
-        pairs = materialize(pairs.select("a", "b", "la", "lb").distinct().join(tested, ["a", "b"], "left_anti"), "across")
+        x, y = (rest.select(F.col("key").alias(f"q{k}"), F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("inside").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}"), F.col("keys").alias(f"k{k}")) for k in "ab")
+        pairs = x.where("NOT ia").join(y, (F.col("qa") == F.col("qb")) & (F.col("la") != F.col("lb")) & (F.col("ib") | (F.col("a") < F.col("b"))) & may_link("na", "nb", "xa", "xb") & ~F.arrays_overlap("ka", "kb"))
+        turned = F.col("a") > F.col("b")
+        ordered = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la"))]
+        pairs = materialize(pairs.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "across")
         return self._contracted(labels, self.verified(pairs))
 
     def _drawn(self, buckets: DataFrame, labels: DataFrame, tested: DataFrame, draw: int) -> DataFrame:
@@ -235,10 +291,12 @@ class Join:
         return materialize(found.groupBy("node").agg(F.min("label").alias("label")), "contracted")
 
     def _open(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """``key, node, label`` of the keys whose nodes are in several components."""
-        rest = buckets.select("key", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        keys = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-        return materialize(rest.join(keys, "key", "left_semi"), "open")
+        """``key, node, label, inside`` of the keys whose nodes are in several components; ``inside``: the
+        node is in the key's largest one."""
+        rest = materialize(buckets.select("key", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        sums = rest.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.count("*").alias("labels"))
+        keys = sums.where("labels > 1").select("key", "largest")
+        return materialize(rest.join(keys, "key").select("key", "node", "label", (F.col("label") == F.col("largest")).alias("inside")), "open")
 
     def result(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` per document."""
