@@ -42,11 +42,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Shuffle files of a finished write go at once, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; it outlives lost executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            name = folder.rpartition("/")[2]
+            for path in [x for x in _tables if x.endswith(f"/{name}")]:
+                _tables.remove(path)
+                _delete(df.sparkSession, path)
 
 
 def drop_tables() -> None:
@@ -54,8 +78,7 @@ def drop_tables() -> None:
     spark = SparkSession.getActiveSession()
     try:
         while spark is not None and _tables:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, _tables.pop())
     except Exception:  # the JVM may be gone at exit
         _tables.clear()
 

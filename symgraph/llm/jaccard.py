@@ -17,7 +17,7 @@ documents link when 100 * intersection >= 75 * union.
    nodes are still in several components after that give further pairs, all those across components; of a
    key's largest component no two nodes are compared, however many it has.
 5. Verify. Bit sketches' Hamming distance first (a lower bound, so nothing is lost), then whole sets. A
-   set goes once to each of its pairs' tasks, and that of a node with many pairs once for HUB_PAIRS of them.
+   set goes once to each of its pairs' tasks, and that of a node with many pairs once for a thousand of them.
 
 Defined cases: null and wordless texts have no shingles and link with nothing; null ids stay alone, with
 null component; repeated rows with the same id are one document; ties take the least id; an empty table
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked, materialize, mix, text_slices, window_hashes, word_hashes
-from .components import components
+from .components import components, tested_pairs
 
 SHINGLE = 5
 #: Sizes of a band's sets are within this ratio; shingles per group at its upper end; chance to miss a pair.
@@ -47,8 +47,6 @@ SKETCH_BITS = 1024
 HEADS = 3
 #: Rounds of drawn nodes end with one that finds at most this part of the links that the heads gave.
 FEW = 0.25
-#: Pairs of a node that are tested by one task.
-HUB_PAIRS = 1000
 
 
 @lru_cache(None)
@@ -146,9 +144,9 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets.append(s.view(np.int64))
                 total += len(s)
             if total > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "value"])
                 nodes, sets, total = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "value"])
 
 
 def may_link(na: str, nb: str, xa: str, xb: str):
@@ -166,25 +164,11 @@ def may_link(na: str, nb: str, xa: str, xb: str):
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * apart <= F.col(na) + F.col(nb))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (hub, part, place), with a hub's set at the start of each part, the places of the
-    pairs whose sets link."""
-    at, hub = None, None
-    for batch in batches:
-        keys = list(zip(batch.column("hub").to_pylist(), batch.column("part").to_pylist(), strict=True))
-        places, sets, out = batch.column("place").to_pylist(), batch.column("shingles"), []
-        for i, place in enumerate(places):
-            own = sets[i].values.to_numpy().view(np.uint64)
-            if place < 0:
-                at, hub = keys[i], own.copy()
-                continue
-            if keys[i] != at:
-                raise ValueError("a pair without its hub's set")
-            common = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
-            if 100 * common >= 75 * (len(hub) + len(own) - common):
-                out.append((*at, place))
-        hubs, parts, found = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(parts, pa.int64()), pa.array(found, pa.int64())], names=["hub", "part", "place"])
+def linked(a: pa.ListScalar, b: pa.ListScalar) -> bool:
+    """Whether two sets (sorted as unsigned numbers) have a similarity of 0.75 or more."""
+    x, y = (s.values.to_numpy().view(np.uint64) for s in (a, b))
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= 75 * (len(x) + len(y) - common)
 
 
 class Join:
@@ -215,22 +199,9 @@ class Join:
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         need = materialize(need.join(self.nodes.select("node", "doc_id"), "node"), "needed")
         texts = self.docs.join(checked(need.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_whole_sets, "node long, shingles array<long>")
+        sets = texts.mapInArrow(_whole_sets, "node long, value array<long>")
         sets = materialize(sets.join(checked(need.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        # The node of a pair that has more pairs is its hub; a hub's pairs are dealt to parts.
-        many = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("many"))
-        many = materialize(many, "degrees")
-        more = [checked(many).select(F.col("node").alias(k), F.col("many").alias(f"m{k}")) for k in "ab"]
-        dealt = pairs.join(more[0], "a").join(more[1], "b")
-        first = F.col("ma") >= F.col("mb")
-        dealt = dealt.withColumns({"hub": F.when(first, F.col("a")).otherwise(F.col("b")), "other": F.when(first, F.col("b")).otherwise(F.col("a"))})
-        parts = F.ceil(F.greatest("ma", "mb") / HUB_PAIRS)
-        dealt = materialize(dealt.withColumns({"part": F.pmod(F.xxhash64("other"), parts), "place": F.monotonically_increasing_id()}).drop("ma", "mb"), "dealt")
-        own = sets.withColumnRenamed("node", "hub").join(dealt.select("hub", "part").distinct(), "hub").withColumn("place", F.lit(-1).cast("long"))
-        each = dealt.select("hub", "part", "place", F.col("other").alias("node")).join(sets, "node").drop("node")
-        rows = own.unionByName(each).repartition("hub", "part").sortWithinPartitions("hub", "part", "place")
-        found = rows.mapInArrow(_linked, "hub long, part long, place long").select("place")
-        return materialize(dealt.join(found, "place", "left_semi").select(*pairs.columns), "verified")
+        return tested_pairs(pairs, sets, linked)
 
     def components(self) -> DataFrame:
         """``node, label``: nodes with links to others, and their components."""

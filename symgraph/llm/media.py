@@ -1,17 +1,22 @@
 """Media columns: cropped and edited copies of images, by local descriptors.
 
 1. Images with equal size and pixels are one node (a third of all rows may be one).
-2. Corners. Harris corners of each image at the scales ``SCALES``, all that stand out, without a limit.
+2. Corners. Harris corners of each image at ``LEVELS`` scales, a factor of 2^(1/4) apart (small images are
+   enlarged first), all that stand out, without a limit, but for a margin where patches would be mostly
+   outside the image.
 3. Descriptors. Each corner is turned to the direction of its patch's intensity centroid; 256 tests of two
-   smoothed pixels give 256 bits, which gain, offset and turning leave alone.
-4. Hamming tables. The bits are cut into ``BANDS`` words; two descriptors that differ in fewer than
-   ``BANDS`` bits share a word at its place. Nodes of a word meet its least node (first round) and, across
-   the components that this gives, their neighbour in the word's order (second round), which joins families
-   early. All pairs that share a word and are still in different components are tested after that, block of
-   nodes by block of nodes, so a hot word's pairs are many tasks and a block's features are sent once for each
-   block that it shares a word with.
-5. Consensus. Of each pair, mutually nearest descriptors propose a turn, a scale and a shift; the pair
-   links when ``INLIERS`` matches, and a ``SHARE`` of the smaller image's corners, agree with one.
+   smoothed pixels, whether one is brighter by a part of the patch's contrast, give 256 bits, which gain,
+   offset and turning leave alone.
+4. Hamming tables. The bits are cut into ``BANDS`` words of 42 bits; descriptors that share a word
+   at its place meet, and match if of the 48 bits after it at most ``NEAR`` differ. Two images are candidates
+   if ``VOTES`` matches agree in their turn and scale. Nodes meet the head of each word first, which joins families
+   early; then, of the words whose nodes are still in several components, all nodes meet that are in
+   different ones. Matches are found inside the join and summed before any descriptor is sent.
+5. Consensus. Of each candidate pair, mutually nearest descriptors propose a turn, a scale and a shift; the
+   pair links when ``INLIERS`` matches, and a ``SHARE`` of the smaller image's corners, agree with one.
+
+A pair without ``VOTES`` common words is no candidate; the tests measure what that costs by kind of edit,
+against a comparison of all pairs.
 
 Output: ``image_id, n_features, n_links, component_id``; links are those found between its node and others.
 
@@ -27,18 +32,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, materialize
-from .components import components
-
-SCALES = (1.0, 0.7071, 0.5)
-PATCH, TESTS, BANDS = 8, 256, 8
+from .common import checked, materialize, release
+from .components import components, tested_pairs
+
+#: Scales below the first one and that; images are enlarged by whole steps until this side at least.
+LEVELS, STEP, LEAST_SIDE = 5, 2**-0.25, 48
+#: Of each word's bits, 5 bytes follow one another, and two are from the last 16 bits.
+PATCH, TESTS, BANDS, BYTES, REST = 16, 256, 6, 5, 2
+#: A test's two pixels are this part of PATCH apart at least, and its bit needs this part of the patch's deviation.
+APART, CONTRAST = 0.6, 0.4
+#: Of some seeds of the tests' places, the one whose words unrelated images share least.
+SEED = 3
+#: Corners are this many pixels, or at least this part of the smaller side, inside the image.
+MARGIN, MARGIN_SHARE = 9, 0.2
+#: Of the 48 bits after a common word, most that differ; words of a candidate pair that agree in turn; heads of a node.
+NEAR, VOTES, HEADS = 6, 2, 3
 #: Most bits that matched descriptors differ in; pixels that an agreeing match may be off; what a link needs.
-BITS, OFF, INLIERS, SHARE = 40, 3.0, 8, 0.25
-#: Bytes of features and words in a block of nodes, about.
-BLOCK_BYTES = 1 << 20
+BITS, OFF, INLIERS, SHARE = 40, 3.0, 6, 0.2
 #: A corner's response is at least this, and this part of the image's strongest.
 LEAST, RELATIVE = 50.0, 0.005
 IMAGE = "image_id long, width int, height int, pixels binary"
@@ -47,11 +60,18 @@ FEATURE = np.dtype([("x", "f4"), ("y", "f4"), ("angle", "f4"), ("scale", "f4"),
 
 @lru_cache(None)
 def _pattern() -> tuple[np.ndarray, np.ndarray]:
-    """Places of the tests (TESTS x 2 points x (x, y)) and of the centroid's disc."""
-    rnd = np.random.Generator(np.random.PCG64(17))
-    r, a = (PATCH - 1) * np.sqrt(rnd.random((TESTS, 2))), 2 * np.pi * rnd.random((TESTS, 2))
+    """Places of the tests (TESTS x 2 points x (x, y)) and of the centroid's disc. The tests are dealt to the
+    words by the direction of their middle, so that each word covers the whole patch."""
+    rnd, tests = np.random.Generator(np.random.PCG64(SEED)), []
+    while len(tests) < TESTS:
+        r, a = (PATCH - 1) * np.sqrt(rnd.random(2)), 2 * np.pi * rnd.random(2)
+        if abs(r[0] * np.exp(1j * a[0]) - r[1] * np.exp(1j * a[1])) >= APART * PATCH:
+            tests.append(np.stack([r * np.cos(a), r * np.sin(a)], -1))
+    tests = np.stack(tests)
+    order = np.argsort(np.arctan2(*tests.mean(1).T[::-1]), kind="stable")
+    dealt = np.concatenate([order[k::BANDS][: 8 * BYTES] for k in range(BANDS)])
     grid = np.mgrid[-PATCH + 1 : PATCH, -PATCH + 1 : PATCH].reshape(2, -1).T
-    return np.stack([r * np.cos(a), r * np.sin(a)], -1), grid[(grid**2).sum(1) < PATCH**2]
+    return tests[np.append(dealt, np.setdiff1d(order, dealt))], grid[(grid**2).sum(1) < PATCH**2]
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -94,18 +114,24 @@ def _corners(x: np.ndarray) -> np.ndarray:
 def features(pixels: np.ndarray) -> np.ndarray:
     """The corners of a grey image at all scales, as ``FEATURE`` records."""
     tests, disc = _pattern()
-    out = [np.zeros(0, FEATURE)]
-    for scale in SCALES:
+    out, up = [np.zeros(0, FEATURE)], 0
+    while 0 < min(pixels.shape) * STEP**up < LEAST_SIDE and up > -8:
+        up -= 1
+    for level in range(up, LEVELS):
+        scale = STEP**level
         x = _resized(pixels.astype(np.float32), scale)
         if min(x.shape) < PATCH:
             continue
         at = _corners(x)
+        inside = min(MARGIN, MARGIN_SHARE * min(x.shape))
+        at = at[np.minimum(at, np.array(x.shape) - 1 - at).min(1, initial=1 << 30) + 0.5 >= inside]
         found = np.zeros(len(at), FEATURE)
-        smooth = np.pad(np.rint(_box(x, 1)), 2 * PATCH, mode="edge")
+        smooth = np.pad(_box(x, 2), 2 * PATCH, mode="edge")
         centre = at + 2 * PATCH
         for lo in range(0, len(at), 1024):
             c = centre[lo : lo + 1024]
             patch = smooth[c[:, :1] + disc[:, 0], c[:, 1:] + disc[:, 1]]
+            least = 1 + CONTRAST * patch.std(1, keepdims=True)
             patch = patch - patch.mean(1, keepdims=True)
             angle = np.arctan2(patch @ disc[:, 0].astype(np.float32), patch @ disc[:, 1].astype(np.float32))
             cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
@@ -113,17 +139,23 @@ def features(pixels: np.ndarray) -> np.ndarray:
             dy = np.rint(sin * tests[..., 0] + cos * tests[..., 1]).astype(np.int64)
             v = smooth[c[:, :1, None] + dy, c[:, 1:, None] + dx]
             f = found[lo : lo + 1024]
-            f["bits"] = np.packbits(v[..., 0] > v[..., 1] + 1, axis=1).view(np.uint64)
+            f["bits"] = np.packbits(v[..., 0] > v[..., 1] + least, axis=1).view(np.uint64)
             f["angle"], f["scale"] = angle, scale
         found["y"], found["x"] = ((at + 0.5) / scale - 0.5).T
         out.append(found)
     return np.concatenate(out)
 
 
-def keys_of(f: np.ndarray) -> np.ndarray:
-    """Distinct words of the Hamming tables, each with its place in the high bits."""
-    words = np.ascontiguousarray(f["bits"]).view(np.uint32).reshape(len(f), BANDS).astype(np.int64)
-    return np.unique(words | (np.arange(BANDS, dtype=np.int64) << 32))
+def words_of(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the Hamming tables, each with its place; and of each word the 48 bits after it, above
+    the descriptor's level (4 bits) and its angle in 256 steps."""
+    raw = np.ascontiguousarray(f["bits"]).view(np.uint8).reshape(len(f), TESTS // 8).astype(np.int64)
+    number = lambda first, n: sum(raw[:, (first + i) % (BANDS * BYTES)] << (8 * i) for i in range(n))
+    angle = np.floor(f["angle"] * (128 / np.pi)).astype(np.int64) & 255
+    level = np.rint(np.log(f["scale"]) / np.log(STEP)).astype(np.int64) + 8
+    rest = raw[:, -2] | raw[:, -1] << 8
+    keys = [number(k * BYTES, BYTES) | (rest >> REST * k & (1 << REST) - 1) << 8 * BYTES | k << 8 * BYTES + REST for k in range(BANDS)]
+    return np.concatenate(keys), np.concatenate([number((k + 1) * BYTES, 6) << 12 | level << 8 | angle for k in range(BANDS)])
 
 
 def inliers(a: np.ndarray, b: np.ndarray) -> int:
@@ -153,51 +185,51 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = set()
     for batch in batches:
-        nodes, counts, blobs, keys = [], [], [], []
-        for node, w, h, data in zip(*(batch.column(c).to_pylist() for c in ("node", "width", "height", "pixels")), strict=True):
+        nodes, counts, blobs = [], [], []
+        for i, (node, w, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "width", "height")), strict=True)):
             if node is None or node in seen:
                 continue
             seen.add(node)
+            data = batch.column("pixels")[i].as_py()
             fits = w and h and w > 0 and h > 0 and w * h == len(data)
             f = features(np.frombuffer(data, np.uint8).reshape(h, w)) if fits else np.zeros(0, FEATURE)
             nodes.append(node)
             counts.append(len(f))
             blobs.append(f.tobytes())
-            keys.append(keys_of(f))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "features", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "n", "value"])
+
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            found = [np.frombuffer(x.as_py(), FEATURE) for x in part.column("value")]
+            keys, at = words_of(np.concatenate([np.zeros(0, FEATURE), *found]))
+            place = np.tile(np.repeat(np.arange(len(found)), list(map(len, found))), BANDS)
+            order = np.lexsort((at, keys, place))  # a node has each word once
+            first = np.append(True, (keys[order][1:] != keys[order][:-1]) | (place[order][1:] != place[order][:-1]))[: len(order)]
+            keys, at, nodes = keys[order][first], at[order][first], part.column("node").to_numpy()[place[order][first]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes, pa.int64()), pa.array(at)], names=["key", "node", "at"])
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    return inliers(a, b) >= max(INLIERS, SHARE * min(len(a), len(b)))
 
+def linked(a: pa.BinaryScalar, b: pa.BinaryScalar) -> bool:
+    x, y = (np.frombuffer(v.as_py(), FEATURE) for v in (a, b))
+    return inliers(x, y) >= max(INLIERS, SHARE * min(len(x), len(y)))
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
-        keep = [linked(np.frombuffer(fa, FEATURE), np.frombuffer(fb, FEATURE)) for fa, fb in pairs]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _across(rows: pa.Table) -> pa.Table:
-    """Links ``a, b`` of two blocks (or within one): all pairs of different labels that share a word."""
-    rows = rows.sort_by("node")
-    nodes, labels, block = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
-    found = [np.frombuffer(f, FEATURE) for f in rows.column("features").to_pylist()]
-    words = rows.column("keys").combine_chunks()
-    of = np.repeat(np.arange(len(nodes)), np.diff(words.offsets.to_numpy()))
-    words = words.flatten().to_numpy()
-    one = block.min() == block.max()
-    out = []
-    for i in range(len(nodes)):
-        own = words[of == i]
-        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
-        share = np.bincount(of[own[at] == words], minlength=len(nodes)) > 0
-        share[: i + 1] = False
-        for j in np.flatnonzero(share & (labels != labels[i]) & (one | (block != block[i]))):
-            if linked(found[i], found[j]):
-                out.append((nodes[i], nodes[j]))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+def match(x: str, y: str):
+    """Whether the bits after two descriptors' common word are near."""
+    return F.bit_count(F.call_function("shiftrightunsigned", F.col(x).bitwiseXOR(F.col(y)), F.lit(12))) <= NEAR
+
+
+def candidates(matches: DataFrame) -> DataFrame:
+    """``a, b, votes`` of the pairs of which ``VOTES`` matches (``a, b, x, y``; x and y are the descriptors'
+    bits, levels and angles) agree in scale and in turn: a sixteenth of a turn, or the next."""
+    part = lambda c, at, n: F.shiftright(F.col(c), at).bitwiseAND(F.lit(n - 1))
+    turn = F.shiftright(F.pmod(part("y", 0, 256) - part("x", 0, 256), F.lit(256)), 4)
+    sums = matches.groupBy("a", "b", (part("y", 8, 16) - part("x", 8, 16)).alias("steps")).agg(*[F.count(F.when(turn == i, 1)).alias(f"t{i}") for i in range(16)])
+    votes = F.greatest(*[F.col(f"t{i}") + F.col(f"t{(i + 1) % 16}") for i in range(16)])
+    return sums.withColumn("votes", votes).where(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 
 class Copies:
@@ -207,44 +239,49 @@ class Copies:
         x = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("pixels").cast("binary").alias("pixels"))
         x = x.withColumn("node", F.when(F.col("pixels").isNotNull(), F.xxhash64("width", "height", "pixels")))
         self.rows = materialize(x.select("image_id", "node"), "images")
-        found = x.where("image_id IS NOT NULL").mapInArrow(_features, "node long, n long, features binary, keys array<long>")
+        found = x.where("image_id IS NOT NULL").mapInArrow(_features, "node long, n long, value binary")
         self.nodes = materialize(found.dropDuplicates(["node"]), "features")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        x, y = (self.nodes.select(F.col("node").alias(k), F.col("features").alias(f"f{k}")) for k in "ab")
-        return materialize(pairs.join(x, "a").join(y, "b").mapInArrow(_agree, "a long, b long"), "agreed")
+    def shared(self) -> DataFrame:
+        """``key, node, at`` of the words of several nodes."""
+        words = self.nodes.select("node", "value").mapInArrow(_words, "key long, node long, at long")
+        keys = materialize(words.groupBy("key").count().where("count > 1").select("key"), "frequent")
+        found = materialize(words.join(keys, "key", "left_semi"), "shared")
+        release(keys)
+        return found
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links ``a, b`` between nodes, and ``node, label`` of the nodes that have any."""
-        w = Window.partitionBy("key").orderBy("node")
-        keys = self.nodes.select(F.explode("keys").alias("key"), "node")
-        heads = keys.withColumns({"head": F.first("node").over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("node").over(w)})
-        keys = materialize(heads.where("head <> node OR next IS NOT NULL").select("key", "node", "head"), "words")
-        first = materialize(keys.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "first")
-        links = self.verified(first)
+        words, values = self.shared(), self.nodes.select("node", "value")
+        heads = words.groupBy("key").agg(F.min(F.struct("node", "at")).alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.at").alias("y"))
+        near = words.select("key", F.col("node").alias("a"), F.col("at").alias("x")).join(heads, "key").where((F.col("a") != F.col("b")) & match("x", "y"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False), 1, HEADS)  # a node has as many heads as words at most
+        first = candidates(near).groupBy("a").agg(best.alias("best")).select("a", F.inline("best")).select("a", "b")
+        first = materialize(first, "first")
+        links = tested_pairs(first, values, linked)
         labels = components(links)
-        over = Window.partitionBy("key").orderBy("label", "node")
-        apart = keys.join(checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = apart.withColumns({"prior": F.lag("node").over(over), "from": F.lag("label").over(over)}).where("from <> label")
-        second = apart.select(F.least("prior", "node").alias("a"), F.greatest("prior", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        links = links.unionByName(self.verified(materialize(second, "second")))
-        links = links.unionByName(self.across(keys, components(links)))
+        # What the heads have not joined: all pairs of different components that share words. One node of each
+        # pair is outside the word's largest component.
+        rest = words.join(checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        row = F.struct("label", "node", "at")
+        keys = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.label <> hi.label")
+        keys = materialize(keys, "open-words")
+        # Words of two nodes are pairs as they are; the others' nodes join.
+        two = keys.where("n = 2").select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"), F.col("lo.at").alias("x"), F.col("hi.at").alias("y")).where(match("x", "y"))
+        rest = materialize(rest.join(keys.where("n > 2").select("key"), "key", "left_semi"), "open")
+        largest = rest.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
+        rest = rest.join(largest, "key").withColumn("inside", F.col("label") == F.col("largest"))
+        x, y = (rest.select(F.col("key").alias(f"q{k}"), F.col("node").alias(k), F.col("at").alias(c), F.col("label").alias(f"l{k}"), F.col("inside").alias(f"i{k}")) for k, c in ("ax", "by"))
+        near = x.where("NOT ia").join(y, (F.col("qa") == F.col("qb")) & (F.col("la") != F.col("lb")) & (F.col("ib") | (F.col("a") < F.col("b"))) & match("x", "y")).select("a", "b", "x", "y").unionByName(two)
+        # The same two nodes may meet either way round, at words of different largest components.
+        turned = F.col("a") > F.col("b")
+        near = near.select(*[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"))])
+        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        across = materialize(candidates(near).select("a", "b").join(tested, ["a", "b"], "left_anti"), "across")
+        release(words, keys, rest)
+        links = links.select("a", "b").unionByName(tested_pairs(across, values, linked))
         return links, components(links)
 
-    def across(self, keys: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links between nodes of different components, of all pairs that share a word."""
-        size = self.nodes.agg(F.sum(F.length("features") + 8 * F.size("keys"))).first()[0] or 0
-        rest = keys.select("key", "node").join(checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = rest.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-        block = F.pmod(F.xxhash64("node"), F.lit(1 + size // BLOCK_BYTES))
-        rest = materialize(rest.join(apart, "key", "left_semi").withColumn("block", block), "open")
-        # Of each two blocks with a common word, the nodes that hold one; their words stay with them.
-        other = rest.select("key", F.col("block").alias("other")).distinct()
-        sides = rest.join(other, "key").select("node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).distinct()
-        full = self.nodes.select("node", "features", F.array_sort("keys").alias("keys"))
-        found = sides.join(full, "node").groupBy("lo", "hi").applyInArrow(lambda x: _across(x), "a long, b long")
-        return materialize(found, "across")
-
     def result(self) -> DataFrame:
         links, labels = self.links()
         n = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))

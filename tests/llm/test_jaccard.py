@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.llm import common, jaccard
+from symgraph.llm import common, components, jaccard
 
 
 def pair(rnd, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def test_words_find_linked_pairs(n):
 
 
 def test_hubs_chains_and_mixed_keys(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HUB_PAIRS", 3)
+    monkeypatch.setattr(components, "HUB_PAIRS", 3)
     rnd = random.Random(9)
     vocabulary = [f"v{i}" for i in range(5000)]
     make = lambda n: [rnd.choice(vocabulary) for _ in range(n)]

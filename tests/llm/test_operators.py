@@ -208,24 +208,6 @@ def test_media(spark):
     assert media.image_copies(df.limit(0)).count() == 0
 
 
-def test_media_frequent_words(spark, monkeypatch):
-    rnd = np.random.default_rng(8)
-    images = [np.clip(rnd.normal(128, 45, (8, 8)).repeat(8, 0).repeat(8, 1), 0, 255).astype(np.uint8) for _ in range(6)]
-    images += [images[1][5:, 7:], images[3][6:, 4:], np.rot90(images[4])]
-    found = [media.features(images[k]) for k in (0, 1, 2, 6, 3, 4, 5, 7, 8)]
-    keys = [[7, 8 + k // 8] for k in range(9)]  # one word of all nodes, in whose order copies are neither first nor next to each other
-    nodes = spark.createDataFrame([(k, len(f), f.tobytes(), w) for k, (f, w) in enumerate(zip(found, keys, strict=True))], "node long, n long, features binary, keys array<long>")
-    every = {(a, b) for a, b in itertools.combinations(range(9), 2) if media.inliers(found[a], found[b]) >= max(media.INLIERS, media.SHARE * min(len(found[a]), len(found[b])))}
-    assert every == {(1, 3), (4, 7), (5, 8)}
-    for size in (1 << 20, 1 << 13):
-        monkeypatch.setattr(media, "BLOCK_BYTES", size)
-        copies = object.__new__(media.Copies)
-        copies.nodes = nodes
-        links, labels = copies.links()
-        assert {tuple(r) for r in links.select("a", "b").collect()} == every
-        assert {r["node"]: r["label"] for r in labels.collect()} == {b: a for a, b in every} | {a: a for a, _ in every}
-
-
 def test_html(spark):
     page = '<html><body><nav>M</nav><div class="cookie-notice">C</div><article><h1>T&amp;&lt;b&gt;</h1><p>a&nbsp;b <i>c</i>d<br>e<p>f<form>x</form><div class="comments"><p>no</p></div></article><aside>z</aside><footer>f</footer></body>'
     rows = [(1, "http://h/1", page, 1), (2, None, None, 2), (3, "http://h/3", "plain & text", 3), (1, "http://h/1", page, 1)]
