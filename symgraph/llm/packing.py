@@ -7,11 +7,12 @@ solved on the driver, whole classes of equal bins at a time:
 1. Dominance reduction (Martello and Toth). For the longest item left, a bin is fixed for good where
    it provably dominates every other bin with that item: nothing else fits; the largest item that
    fits fills the bin exactly; at most one more item fits (then the largest that does); or at most two
-   more fit and no two of them together exceed the largest single one. Repeated until nothing is fixed.
+   more fit and no two of them together exceed the largest single one. Of equal bins, all are fixed at once
+   for which that holds. Repeated until nothing is fixed.
 2. Best-fit decreasing over what is left.
 
-The plan (bins by pattern, and ranks of each length that go to them) has at most a few entries per
-length. Pieces get their rank within their length by distributed prefix counts over salted ranges,
+The plan (bins by pattern, and ranks of each length that go to them) has a few entries per length,
+whatever the counts are: a step uses up a length or leaves the condition for good. Pieces get their rank within their length by distributed prefix counts over salted ranges,
 so a length that a third of all pieces have spreads over many tasks.
 
 Defined cases: null text is empty (only the end id); repeated rows are packed each; ties are packed in
@@ -20,6 +21,7 @@ any order; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from .common import checked, materialize
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a Python worker keeps the ids of, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Pieces of one length that share a range, on average, up to MAX_RANGES ranges a length.
 RANGE_ROWS, MAX_RANGES = 256, 65_536
 _SLICE = 1 << 20
@@ -51,10 +53,14 @@ _BLANK = bytes(32 if c in (9, 10, 13) else c for c in range(256))
 
 
 class WordEncoder:
-    """Ids of texts, word by word: white space always parts tokens of this vocabulary, and letter case is
-    dropped, so that the ids of a text are those of its lower-cased words in turn, and words recur. Ids are
+    """Ids of texts, word by word: white space always parts tokens of this vocabulary, and A-Z are
+    lower-cased by it, so that the ids of a text are those of its words in turn, and words recur. Ids are
     kept packed (little-endian 32 bits), in two generations: the older half of the cache goes when the
-    newer one is full. Special tokens' strings in a text are ordinary text."""
+    newer one is full. Special tokens' strings in a text are ordinary text.
+
+    Words of letters that normalisation leaves as they are are encoded in bulk: each
+    is one run of letters, so it has one token that ends a run, its last. All other words are encoded one by
+    one, as they are."""
 
     def __init__(self, path: str):
         import os
@@ -70,10 +76,21 @@ class WordEncoder:
             self.last[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        #: Characters, and whether they are letters that stay as they are.
+        self.plain: dict[str, bool] = {}
+
+    def _letters(self, text: str) -> bool:
+        """Whether the text is a run of letters, to the tokenizer too, that its normalisation changes nothing of."""
+        if text.isascii():
+            return text.isalpha()
+        for c in set(text).difference(self.plain):
+            alone = c.isalpha() and self.tokenizer.normalizer.normalize_str(c) == c
+            self.plain[c] = alone and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}.")) == 2
+        return all(map(self.plain.__getitem__, text)) and unicodedata.normalize("NFC", text) == text
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        whole = [x.isalpha() and x.lower().isalpha() for x in texts]  # words of letters: a single run of tokens each
+        whole = list(map(self._letters, texts))
         rest = [i for i, x in enumerate(whole) if not x]
         letters = [i for i, x in enumerate(whole) if x]
         for at in range(0, len(letters), 4096):
@@ -93,12 +110,12 @@ class WordEncoder:
                 self.cache[words[i]] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        """Put ``words`` into the cache. A full stop or comma after a letter is a token of its own."""
+        """Put ``words`` into the cache. A full stop or comma after a run of plain letters is a token of its own."""
         stems, ended = set(), []
         for w in words:
             if (ids := self.old.get(w)) is not None:
                 self.cache[w] = ids
-            elif w[-1:] in (b".", b",") and w.decode("utf-8", "replace")[-2:-1].isalpha():
+            elif w[-1:] in (b".", b",") and self._letters(w[:-1].decode("utf-8", "replace")):
                 ended.append(w)
                 if w[:-1] not in self.cache:
                     stems.add(w[:-1])
@@ -209,8 +226,8 @@ def reduce_dominated(left: _Counts, capacity: int) -> list[tuple[list[tuple[int,
                 if not sure:
                     break
                 n = left.n[length] // 2 if k == length else min(left.n[length], left.n[k])
-                if k != room:
-                    n = 1  # what else fits may change with each bin
+                if k != room:  # as long as these items are left, so are those that may fit beside them
+                    n = self_similar(left, length, k, n)
                 fixed.append(([(length, 2)] if k == length else [(length, 1), (k, 1)], n))
                 left.take(length, n * (1 + (k == length)))
                 if k != length:
@@ -219,17 +236,26 @@ def reduce_dominated(left: _Counts, capacity: int) -> list[tuple[list[tuple[int,
     return fixed
 
 
+def self_similar(left: _Counts, length: int, k: int, most: int) -> int:
+    """How many bins of ``length`` and ``k`` can be fixed before what else fits into them changes.
+
+    The smallest items and the best pair that the condition looks at stay the same as long as more than
+    three items of each of the two lengths are left, besides the ones of other lengths, which no such bin
+    takes; the last few bins are judged one by one."""
+    return max(1, most - 4)
+
+
 def _best_pair(left: _Counts, room: int, without: int) -> int:
     """The largest sum of two items that fits in ``room``, one item of ``without`` set aside."""
-    best, xs = 0, left.lengths
-    i, j = 0, bisect_right(xs, room) - 1
+    some = lambda x: left.n[x] - (x == without)
+    best, xs = 0, [x for x in left.lengths[: bisect_right(left.lengths, room)] if some(x)]
+    i, j = 0, len(xs) - 1
     while i <= j:
-        a, b = xs[i], xs[j]
-        have = left.n[a] - (a == without) >= 1 + (a == b) and left.n[b] - (b == without) >= 1
-        if a + b > room:
+        if xs[i] + xs[j] > room:
             j -= 1
         else:
-            best = max(best, (a + b) * have)
+            if i < j or some(xs[i]) > 1:
+                best = max(best, xs[i] + xs[j])
             i += 1
     return best
 
