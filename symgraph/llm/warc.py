@@ -15,7 +15,8 @@ hdfs, s3, gs).
 
 Defined cases: null html is empty; null urls have the empty key; rows with null page id are responses;
 rows with the same page id and payload are each written, and are all responses if theirs is the
-largest id; an empty table gives no rows; other columns are ignored.
+largest id, and a page id and key are looked up once, however many urls have that key; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,10 +228,10 @@ def _look_up(batches: Iterator[pa.RecordBatch], shards: list, folder: str) -> It
 
 
 def look_up(queries: DataFrame, shards: list, folder: str) -> DataFrame:
-    """``file, offset, length`` of the captures of ``queries`` (distinct ``page_id, url``)."""
+    """``file, offset, length`` of the captures of ``queries`` (``page_id, url``), each once."""
     if not shards:
         return queries.sparkSession.createDataFrame([], "file string, offset long, length long")
-    found = queries.mapInArrow(lambda b: _find_shards(b, shards), "shard int, key string, page_id long")
+    found = queries.mapInArrow(lambda b: _find_shards(b, shards), "shard int, key string, page_id long").distinct()  # several urls may have one key
     found = found.repartition(len(shards), "shard").sortWithinPartitions("shard", "key", "page_id")
     return found.mapInArrow(lambda b: _look_up(b, shards, folder), "file string, offset long, length long")
 
