@@ -7,11 +7,11 @@ starts anywhere else too.
    of equals), which depends on the window alone, so equal windows have equal anchors at equal places.
    Consecutive windows with the same anchor form a run.
 2. Extend. A run's extent both ways from its anchor is hashed; runs with equal anchor and extent repeat
-   as a whole, and consecutive ones make maximal repeats. Documents meet on anchors in one shuffle, each
-   row with its neighbours in order of (anchor, extent), so no pairs of a group are made and nothing is
-   collected.
+   as a whole, and consecutive ones make maximal repeats. Documents meet on anchors by counts, which are
+   summed before the shuffle, and by joins, of which Spark splits hot keys: no pairs of a group are made,
+   and no anchor or passage that a third of all documents have is one task's.
 3. Ends. Where runs share the anchor but not the extent (the ends of passages), one run of each extent is
-   taken apart to windows, and those are matched one by one.
+   taken apart to windows, and those are counted one by one.
 
 Hashes are 64 bits. Defined cases: null text has no words; texts shorter than a window keep all words;
 equal rows repeat each other; rows with the same id and other text are told apart; null ids are allowed;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, materialize, mix, powers, text_slices, window_hashes, word_hashes
+from .common import checked, materialize, mix, powers, release, text_slices, window_hashes, word_hashes
 
 WINDOW, SHINGLE = 35, 16
 
@@ -101,20 +101,21 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``rid, spans`` (array of first word and end) of rows (``rid, text``) with repeats."""
     runs = docs.mapInArrow(lambda b: _runs(b, window), "rid long, first int, n int, anchor long, extent long")
-    near = Window.partitionBy("anchor").orderBy("extent", "rid", "first")
-    before, after = F.lag("extent").over(near), F.lead("extent").over(near)
-    runs = runs.withColumns({"before": before, "after": after}).where("before IS NOT NULL OR after IS NOT NULL")
-    same = lambda x: F.coalesce(F.col(x) == F.col("extent"), F.lit(False))
-    runs = materialize(runs.select("rid", "first", "n", "anchor", (same("before") | same("after")).alias("whole"), (~same("before")).alias("one")), "runs")
+    often = materialize(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "frequent-anchors")
+    runs = materialize(runs.join(often, "anchor", "left_semi"), "runs")
+    one = F.min(F.struct("rid", "first", "n"))
+    extents = materialize(runs.groupBy("anchor", "extent").agg(F.count("*").alias("times"), one.alias("one")), "extents")
+    twice = runs.join(extents.where("times > 1").select("anchor", "extent"), ["anchor", "extent"], "left_semi").select("rid", "first", "n")
     # The ends of passages: one run of each extent, where an anchor has several and some of them once only.
-    ones = runs.where("one")
-    mixed = ones.groupBy("anchor").agg(F.count("*").alias("extents"), F.min("whole").alias("whole")).where("extents > 1 AND NOT whole").select("anchor")
-    ends = ones.join(materialize(mixed, "mixed-anchors"), "anchor", "left_semi")
-    ends = materialize(ends.groupBy("rid").agg(F.collect_list(F.struct("first", "n", "whole")).alias("runs")), "ends")
+    mixed = extents.groupBy("anchor").agg(F.count("*").alias("extents"), F.min("times").alias("least")).where("extents > 1 AND least = 1").select("anchor")
+    ends = extents.join(materialize(mixed, "mixed-anchors"), "anchor", "left_semi").select("one.*", (F.col("times") > 1).alias("whole"))
+    ends = materialize(ends.groupBy("rid").agg(F.collect_list(F.struct("first", "n", "whole")).alias("runs")), "ends")  # of one document
     single = docs.join(checked(ends), "rid").select("rid", "text", "runs").mapInArrow(lambda b: _windows(b, window), "h long, rid long, first int, whole boolean")
-    equal = Window.partitionBy("h").orderBy("rid", "first")
-    single = single.withColumns({"before": F.lag("rid").over(equal), "after": F.lead("rid").over(equal)}).where("NOT whole AND (before IS NOT NULL OR after IS NOT NULL)")
-    found = runs.where("whole").select("rid", "first", "n").unionByName(single.select("rid", "first", F.lit(1).alias("n"))).distinct()
+    single = materialize(single, "windows")
+    equal = materialize(single.groupBy("h").agg(F.count("*").alias("times"), F.min("whole").alias("whole")).where("times > 1 AND NOT whole").select("h"), "equal-windows")
+    more = single.where("NOT whole").join(equal, "h", "left_semi").select("rid", "first", F.lit(1).alias("n"))
+    found = materialize(twice.unionByName(more).distinct(), "found")
+    release(often, runs, extents, ends, single, equal)
     # Maximal repeats: runs that go on without a gap.
     order = Window.partitionBy("rid").orderBy("first")
     gap = F.coalesce(F.col("first") > F.lag(F.col("first") + F.col("n")).over(order), F.lit(True))
