@@ -19,12 +19,23 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Bytes of text that the numpy kernels work on at once (a longer single document is one slice).
 SLICE_BYTES = 1 << 19
 
+#: Bytes of an Arrow batch on its way to a Python worker and back; by rows alone, 10,000 long texts would be one.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _tables: list[str] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless that is set already."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one, if all tasks run in
     this process (tests); on a cluster executors would not see one another's files."""
+    bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):

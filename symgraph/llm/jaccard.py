@@ -290,20 +290,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows go by a 64-bit hash of id and text, so null and repeated ids are joined like others, and equal rows
     are one; rows without words link with nothing and all stay."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = jaccard_components(docs.select(row.alias("doc_id"), "text")).where("n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("rows"))
-    ids = docs.select(row.alias("__row"), F.col("doc_id").cast("long").alias("id")).distinct()
-    found = materialize(found.join(ids, "__row"), "row-components")
-    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
-    first = materialize(first.where("n > 1").select("component_id", F.col("first.__row").alias("first")), "first-rows")
-    gone = materialize(found.join(checked(first), "component_id").where("__row <> first").select("__row"), "copies")
-    again = materialize(found.where("rows > 1").select("__row"), "repeated-rows")
-    kept = docs.withColumn("__row", row).join(checked(gone), "__row", "left_anti")
-    if not again.limit(1).count():
-        return kept.select(*docs.columns)
-    once = kept.join(checked(again), "__row", "left_semi").dropDuplicates(["__row"])
-    return kept.join(checked(again), "__row", "left_anti").unionByName(once).select(*docs.columns)
+    found = found.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count("*").alias("rows"))
+    ids = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id")).distinct()
+    found = materialize(found.join(ids, "row"), "row-components")
+    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    first = materialize(first.where("n > 1").select("component_id", F.col("first.row").alias("first")), "first-rows")
+    gone = materialize(found.join(checked(first), "component_id").where("row <> first").select("row"), "copies")
+    again = materialize(found.where("rows > 1").select("row"), "repeated-rows")
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()], row.alias("row"))
+    kept = rows.join(checked(gone), "row", "left_anti")
+    if again.limit(1).count():
+        once = kept.join(checked(again), "row", "left_semi").dropDuplicates(["row"])
+        kept = kept.join(checked(again), "row", "left_anti").unionByName(once)
+    return kept.select(*[F.col(x).alias(c) for c, x in names.items()])
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

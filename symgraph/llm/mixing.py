@@ -93,22 +93,25 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple = WEIGHTS, limit:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: rows repeated once per epoch, and the row at each source's budget
-    cut to the words that still fit. Equal rows are taken together."""
-    rid = F.xxhash64("doc_id", "text", "source")
-    rows = docs.withColumn("__rid", rid)
-    ids = materialize(rows.select("__rid", "doc_id", "text", "source").groupBy("__rid").count().where("count > 1").select("__rid"), "equal-rows")
-    mix = mix_sources(docs.select(F.struct("doc_id", rid.alias("rid")).alias("doc_id"), "text", "source"), **options)
+    cut to the words that still fit. Equal rows are taken together. Other columns may have any names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    ids = [F.col(names[c]) for c in ("doc_id", "text", "source")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()]).withColumn("rid", F.xxhash64(*ids))
+    equal = materialize(rows.groupBy("rid").count().where("count > 1").select("rid"), "equal-rows")
+    mix = mix_sources(rows.select(F.struct(ids[0].alias("doc_id"), "rid").alias("doc_id"), ids[1].alias("text"), ids[2].alias("source")), **options)
     parts = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))
     whole = F.col("epochs") + ((F.col("part") == F.col("size")) & (F.col("size") > 0)).cast("long")
-    mix = mix.groupBy(F.col("doc_id.rid").alias("__rid")).agg(F.sum(whole).alias("__whole"), F.collect_list(parts).alias("__parts"))
-    mix = materialize(mix.where((F.col("__whole") > 0) | (F.size("__parts") > 0)), "mix")
-    if ids.limit(1).count():
-        equal = rows.join(checked(ids), "__rid", "left_semi").dropDuplicates(["__rid"])
-        rows = rows.join(checked(ids), "__rid", "left_anti").unionByName(equal)
-    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.col("__parts"))
-    out = rows.join(checked(mix), "__rid").withColumn("__take", F.explode(takes))
-    cut = F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.lit(0), F.col("__take")).cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("__take") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
+    cuts = F.collect_list(parts)  # of equal rows, one a source is cut
+    mix = mix.groupBy(F.col("doc_id.rid").alias("rid")).agg(F.sum(whole).alias("whole"), cuts.alias("parts"))
+    mix = materialize(mix.where((F.col("whole") > 0) | (F.size("parts") > 0)), "mix")
+    if equal.limit(1).count():
+        once = rows.join(checked(equal), "rid", "left_semi").dropDuplicates(["rid"])
+        rows = rows.join(checked(equal), "rid", "left_anti").unionByName(once)
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.col("parts"))
+    out = rows.join(checked(mix), "rid").withColumn("take", F.explode(takes))
+    cut = F.array_join(F.slice(words_of(ids[1]), 1, F.greatest(F.lit(0), F.col("take")).cast("int")), " ")
+    out = out.withColumn(names["text"], F.when(F.col("take") < 0, ids[1]).otherwise(cut))
+    return out.select(*[F.col(x).alias(c) for c, x in names.items()])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

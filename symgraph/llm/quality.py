@@ -96,21 +96,24 @@ def bad_hosts(counts: DataFrame, bad_rate: int = BAD_RATE) -> DataFrame:
 
 def quality_rules(docs: DataFrame, bad_rate: int = BAD_RATE, keep_columns: bool = False) -> DataFrame:
     """``doc_id`` and the measures, ``base_failed`` and ``kept``; with ``keep_columns`` instead the
-    rows of ``docs`` that are kept, with their own columns. Measures are made once in the first form
-    (they are a small table) and twice in the second, where carrying all texts would cost more."""
-    if keep_columns:
-        measured = _measured(docs.select("doc_id", "text", "source")).drop("text")
-        counts = measured
-    else:
-        counts = measured = materialize(_measured(docs.select("doc_id", "text", "source")).drop("text"), "quality")
+    rows of ``docs`` that are kept, with their own columns, whatever their names. Texts are measured once,
+    and the narrow table of verdicts meets them by a 64-bit hash of text and source."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    measured = _measured(own)
+    if keep_columns:  # one row for each text and source, by a hash of them; the measures follow from those
+        row = F.xxhash64(F.col("text").isNull(), F.col("text").cast("string"), F.col("source").isNull(), F.col("source").cast("string"))
+        measured = measured.select("__host", "__base", "__soft", row.alias("__row"))
+    measured = materialize(measured.drop("text"), "quality")
     fails = F.sum((F.col("__base") | F.col("__soft")).cast("long"))
-    bad = materialize(bad_hosts(materialize(counts.groupBy("__host").agg(F.count("*").alias("n"), fails.alias("f")), "hosts"), bad_rate), "bad-hosts")
-    if keep_columns:
-        measured = _measured(docs)
+    bad = materialize(bad_hosts(materialize(measured.groupBy("__host").agg(F.count("*").alias("n"), fails.alias("f")), "hosts"), bad_rate), "bad-hosts")
     out = measured.join(checked(bad.withColumn("__bad", F.lit(True))), "__host", "left")
     kept = ~F.col("__base") & ~(F.coalesce("__bad", F.lit(False)) & F.col("__soft"))
     if keep_columns:
-        return out.where(kept).select(*docs.columns)
+        gone = materialize(out.where(~kept).select("__row").distinct(), "rejected")
+        names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()], row.alias("row"))
+        left = rows.join(checked(gone.withColumnRenamed("__row", "row")), "row", "left_anti")
+        return left.select(*[F.col(x).alias(c) for c, x in names.items()])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *[F.col(f"__{x}").alias(x) for x in names], F.col("__base").alias("base_failed"), kept.alias("kept"))
 
