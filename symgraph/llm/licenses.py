@@ -92,7 +92,36 @@ PLAIN = [
     ("beerware", r"beerware", r"beer ?ware licen[cs]e", r"people freebsd org phk"),
     ("public-domain", r"public domain", r"(?:in|into|to) the public domain", r"creativecommons org publicdomain mark 1 0"),
     ("cc0", r"cc0 1 0|cc0", r"cc0 1 0 universal|creative commons zero|cc0 licen[cs]e", r"creativecommons org publicdomain zero 1 0"),
-    ("proprietary", r"licenseref proprietary", r"all rights reserved|proprietary and confidential", r"example com eula"),
+    ("proprietary", r"licenseref proprietary", r"proprietary and confidential|confidential and proprietary|all rights reserved (?:unauthori[sz]ed|no part)", r"example com eula"),
+]
+_FREE = r"permission is hereby granted free of charge to any person"
+_GNU = r"(?:this|[a-z0-9]+) (?:program|library|file|software) is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation"
+#: Sentences of the licenses' own texts and headers: label, pattern.
+TEXTS = [
+    ("mit", _FREE + r" obtaining a copy of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction)?"),
+    ("ncsa", _FREE + r" obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("bsl-1.0", _FREE + r" or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", r"(?:neither the names? of|the names? of) (?:[^ ]+ ){1,16}(?:may not|may) be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("apache-2.0", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", r"apache license version 2 0 january 2004"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?2 0"),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?1 0"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1"),
+    ("artistic-2.0", r"the artistic license 2 0 copyright"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("x11", r"except as contained in this notice the names? of the x consortium shall not be used in advertising"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction) of this (?:file|software) via any medium is strictly prohibited"),
+    *[(f"{k}-{v}", _GNU.format(x) + rf" (?:either )?version {v[0]}(?: {v[2]})?(?: of the license)?") for k, x, vs in (("gpl", "", ("1.0", "2.0", "3.0")), ("lgpl", "(?:lesser|library) ", ("2.0", "2.1", "3.0")), ("agpl", "affero ", ("3.0",))) for v in vs],
 ]
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 CC_TERMS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
@@ -175,6 +204,7 @@ def build_rules() -> list[Rule]:
         out.append(Rule(label, URL, url))
         out.append(Rule(label, GRANT, rf"{GRANTS}(?:{names}|(?:{ids}) licen[cs]e)"))
         out.append(Rule(label, NAME, rf"(?:{names})"))
+    out += [Rule(label, EXACT, pattern) for label, pattern in TEXTS]
     for kind in CC_KINDS:
         label = "cc-" + kind.replace(" ", "-")
         full = " ".join(CC_TERMS[x] for x in kind.split())
