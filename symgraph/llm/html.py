@@ -10,9 +10,12 @@
    or they lack more than a twentieth of its own container's clean text, its own is taken.
 
 Within the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out: by tag, ``role`` and words of ``class`` and ``id``.
+reader comments are left out: by tag, and block containers (not headings, paragraphs or inline elements)
+by ``role`` and by class and id names that are made of such words alone (``cookie-notice``, ``ad-slot``, but
+not ``related-work``). Names that an article's own parts may have (``form``, ``search``, ``related``) count
+only outside article and main, or where most of the text is links.
 
-Defined cases: null and empty pages give the empty text; pages without container are taken whole;
+Defined cases: null and empty pages, and pages of nothing but such parts, give the empty text; pages without container are taken whole;
 unclosed elements end with their parent; null urls are one host; repeated rows are extracted each;
 an empty table gives no rows; other columns are ignored.
 """
@@ -34,13 +37,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIP = frozenset("nav header footer aside form script style noscript template svg math iframe object canvas textarea select button head dialog menu audio video".split())
 HOLDERS = frozenset("html body main article section div ul ol dl table tbody tr td th figure blockquote details fieldset span center".split()) - {"span"}
 WHOLE = frozenset("html body main article".split())
-#: Words of class, id and role that mark what is not the article.
+#: Block elements that are judged by their names.
+NAMED = frozenset("div section ul ol dl table details figure fieldset center".split())
+#: Words of class, id and role that mark what is not the article; others that do so outside it; and words that may stand beside them.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar sidebar aside widget widgets "
-    "complementary contentinfo related recommended share sharing social newsletter subscribe subscription signup login search form popup modal overlay "
-    "comment comments commentlist replies reply respond disqus copyright skip".split()
+    "ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar sidebar aside "
+    "complementary contentinfo newsletter popup comment comments commentlist replies disqus".split()
 )
+DOUBTFUL = frozenset("header form search related recommended share sharing social notice notices alert skip copyright login signup subscribe subscription promo promotion sponsor banner modal overlay widget widgets reply respond".split())
+BESIDE = frozenset("site page main global top bottom left right side post entry user reader box block area bar list links link container wrapper wrap inner outer slot unit section panel column col group item items the js".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
@@ -48,6 +54,19 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+
+
+def _marks(names: str) -> tuple[bool, bool]:
+    """Whether a class, id or role of ``names`` is boilerplate; whether it may be."""
+    sure = doubt = False
+    for name in names.split():
+        parts = {x for x in _SPLIT.split(name) if x}
+        if parts and parts <= BOILERPLATE | DOUBTFUL | BESIDE:
+            sure |= not parts.isdisjoint(BOILERPLATE)
+            doubt |= not parts.isdisjoint(DOUBTFUL)
+    return sure, doubt
+
+
 _DIGITS = re.compile(r"\d+")
 #: A winning path is used on pages where it holds at least this share of the own container's clean text.
 LEAST_SHARE = 0.95
@@ -57,10 +76,11 @@ BONUS = {"article": 3.0, "main": 2.0}
 class Page:
     """Blocks of text outside boilerplate, and containers: [path, score, first block, end block, parent, clean text]."""
 
-    def __init__(self, html: str, by_words: bool = True):
+    def __init__(self, html: str):
         self.blocks: list[str] = []
+        doubts: list[list] = []  # of doubtful elements: characters of text, of links, first block, end block
         self.containers: list[list] = []
-        stack: list[tuple[str, int, bool]] = []  # tag, container (-1: none), skipped
+        stack: list[tuple[str, int, bool, int]] = []  # tag, container (-1: none), skipped, doubt (-1: none)
         run: list[str] = []
         linked = skipped = at = 0
         in_link = False
@@ -72,9 +92,13 @@ class Page:
                 run.clear()
                 if text:
                     self.blocks.append(text)
+                    for _, _, _, k in stack:
+                        if k >= 0:
+                            doubts[k][0] += len(text)
+                            doubts[k][1] += linked
                     worth = len(text) - 2 * linked
                     clean = max(0, worth)
-                    for _, c, _ in reversed(stack):
+                    for _, c, _, _ in reversed(stack):
                         if c >= 0:
                             self.containers[c][1] += worth
                             self.containers[c][5] += clean
@@ -85,8 +109,10 @@ class Page:
             nonlocal skipped
             flush()
             while len(stack) > n:
-                _, c, off = stack.pop()
+                _, c, off, k = stack.pop()
                 skipped -= off
+                if k >= 0:
+                    doubts[k][3] = len(self.blocks)
                 if c >= 0:
                     self.containers[c][3] = len(self.blocks)
 
@@ -112,31 +138,37 @@ class Page:
                     close(len(stack) - 1)
                 continue
             attrs = m["attrs"]
-            words, classes, hidden = (), "", False
+            classes, sure, doubt, hidden = "", False, False, False
             if attrs and tag not in WHOLE:
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
                 hidden = "hidden" in found
                 classes = found.get("class", "").lower()
-                words = _SPLIT.split(" ".join((classes, found.get("id", "").lower(), found.get("role", "").lower())))
-            off = tag in SKIP or by_words and (hidden or not BOILERPLATE.isdisjoint(words))
+                if tag in NAMED:
+                    sure, doubt = _marks(" ".join((classes, found.get("id", "").lower(), found.get("role", "").lower())))
+            off = tag in SKIP or hidden or sure or doubt and not any(x in BONUS for x, _, _, _ in stack)
             if off and tag not in VOID and not attrs.endswith("/"):
                 flush()
-                stack.append((tag, -1, True))
+                stack.append((tag, -1, True, -1))
                 skipped += 1
             elif tag not in INLINE:
                 flush()
                 if tag in HOLDERS:
                     c = -1
                     if not skipped:
-                        parent = next((x for _, x, _ in reversed(stack) if x >= 0), -1)
+                        parent = next((x for _, x, _, _ in reversed(stack) if x >= 0), -1)
                         above = self.containers[parent][0] if parent >= 0 else ""
                         name = tag + "".join(sorted("." + _DIGITS.sub("0", x) for x in classes.split()))
                         c = len(self.containers)
                         self.containers.append([f"{above}>{name}", 0.0, len(self.blocks), 0, parent, 0])
-                    stack.append((tag, c, False))
+                    if doubt and not skipped:
+                        doubts.append([0, 0, len(self.blocks), 0])
+                    stack.append((tag, c, False, len(doubts) - 1 if doubt and not skipped else -1))
         if not skipped and at < len(html):
             run.append(html[at:])
         close(0)
+        for text, links, first, end in doubts:
+            if 2 * links > text:
+                self.blocks[first:end] = [""] * (end - first)
         for c in self.containers:
             c[1] *= BONUS.get(self.tag(c), 1.0)
 
@@ -158,7 +190,7 @@ class Page:
     def text(self, path: str | None) -> str:
         best = self.best()
         if best is None:
-            return " ".join(self.blocks)
+            return " ".join(filter(None, self.blocks))
         at = [c for c in self.containers if c[0] == path]
         within = [c for c in at if best[2] <= c[2] and c[3] <= best[3] or c[2] <= best[2] and best[3] <= c[3]]
         if sum(c[5] for c in within) < LEAST_SHARE * best[5] or not within:
@@ -167,11 +199,11 @@ class Page:
         for c in at:  # in page order; nested ones are in their parents
             out += self.blocks[max(done, c[2]) : c[3]]
             done = max(done, c[3])
-        return " ".join(out)
+        return " ".join(filter(None, out))
 
 
 def extract_text(html: str, path: str | None = None) -> str:
-    return Page(html).text(path) or Page(html, by_words=False).text(path)
+    return Page(html).text(path)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,14 +170,17 @@ def test_license_gates():
             if name == "LITERAL":
                 out += chr(x)
             elif name == "IN":
-                out += chr(rnd.choice(x)[1])
+                kind, value = rnd.choice(x)
+                out += chr(value) if str(kind) == "LITERAL" else chr(rnd.randint(*value)) if str(kind) == "RANGE" else rnd.choice("abc019")
+            elif name == "NOT_LITERAL":
+                out += rnd.choice("abc019")
             elif name == "SUBPATTERN":
                 out += example(x[3])
             elif name == "BRANCH":
                 out += example(rnd.choice(x[1]))
             else:
-                assert name == "MAX_REPEAT" and x[:2] == (0, 1)
-                out += example(x[2]) if rnd.random() < 0.5 else ""
+                assert name == "MAX_REPEAT"
+                out += "".join(example(x[2]) for _ in range(rnd.randint(x[0], min(x[1], 16))))
         return out
 
     free = licenses.Scanner()  # without gates
