@@ -1,14 +1,17 @@
-"""Command line: ``python -m symgraph.cli --repo R --store S index|health|export|query ...``; JSON out."""
+"""Command line: ``python -m symgraph.cli --repo R --store S index|doctor|export|watch|serve|query ...``; JSON out."""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 
 from pyspark.sql import SparkSession
 
 from .operators.query import SymbolFilter
+from .serve import serve
 from .session import RepositorySession
+from .streaming.watch import poll
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -18,6 +21,12 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("index", "doctor", "export"):
         sub.add_parser(name)
+    w = sub.add_parser("watch")
+    w.add_argument("--seconds", type=float, default=0.5)
+    w.add_argument("--changes", type=int, help="end after so many refreshes")
+    v = sub.add_parser("serve")
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=7878)
     q = sub.add_parser("query").add_subparsers(dest="query", required=True)
     f = q.add_parser("find-symbol")
     for name in ("--name", "--fq-name", "--kind", "--name-contains", "--name-prefix"):
@@ -53,7 +62,7 @@ def _frames(session: RepositorySession, a: argparse.Namespace) -> dict:
     if a.query == "impact":
         return pair(g.impact(a.target, a.depth))
     if a.query in ("references", "explain"):
-        return {a.query: getattr(g, a.query)(a.target)}
+        return {a.query: getattr(session if a.query == "explain" else g, a.query)(a.target)}
     if a.query == "search":
         return {"results": g.search(a.text, a.limit)}
     if a.query == "crate-graph":
@@ -69,6 +78,15 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("index", "doctor"):
         print(json.dumps(session.build_full() if a.command == "index" else session.health()))
         return
+    if a.command == "watch":
+        if session.store.meta() is None:
+            print(json.dumps(session.build_full()), flush=True)
+        for stats in itertools.islice(poll(session, a.seconds), a.changes):
+            print(json.dumps(stats), flush=True)
+        return
+    if a.command == "serve":
+        serve(session, a.host, a.port).serve_forever()
+        return
     print("{")
     for i, (name, df) in enumerate(_frames(session, a).items()):
         print(", " * bool(i) + json.dumps(name) + ": [")

@@ -79,13 +79,28 @@ def build_graph(repo_path: str, documents: DataFrame, symbols: DataFrame, relati
 
     known = symbols.select("doc_key", F.col("local_id").alias("source_local_id"), sid.alias("source")).distinct()
     r = resolved.join(imports, "dst", "left").where("NOT external OR kind = 'Import' OR struct(doc_key, ordinal) > at")
-    r = r.join(docs, "doc_key").join(known, ["doc_key", "source_local_id"], "left").withColumn("src", F.coalesce("source", fid))
+    r = r.join(known, ["doc_key", "source_local_id"], "left").withColumn("own", F.when(F.col("source").isNotNull(), F.col("source_local_id")))
     kinds = {"Import": "Imports", "Reference": "References", "Call": "Calls", "Inherit": "Inherits", "Implement": "Implements"}
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("kind"))
-    r = r.select("src", "dst", "path", kind.alias("kind"), "reason").distinct()
-    edges = edges.unionByName(_edge(r, F.col("kind"), F.col("src"), F.col("dst"), path, F.col("reason")))
-    edges = edges.unionByName(_edge(r.select("src", "dst", "path").distinct(), "DependsOn", F.col("src"), F.col("dst"), path, "derived dependency"))
-    return nodes, edges.dropDuplicates(["id"])
+    # One shuffle, on the short parts of the ids: a pair's kinds (five at most, with a reason each) and its derived edge.
+    r = r.groupBy("doc_key", "own", "dst", kind.alias("kind")).agg(F.min("reason").alias("reason")) if _many_reasons(relations) else r.select("doc_key", "own", "dst", kind.alias("kind"), "reason")
+    r = r.groupBy("doc_key", "own", "dst").agg(F.collect_set(F.struct("kind", "reason")).alias("kinds"))
+    derived = F.array(F.struct(F.lit("DependsOn").alias("kind"), F.lit("derived dependency").alias("reason")))
+    r = r.withColumn("x", F.explode(F.concat("kinds", derived))).join(docs, "doc_key")
+    src = F.when(F.col("own").isNotNull(), symbol_id(F.col("doc_key"), F.col("own"))).otherwise(fid)
+    # Kinds are apart from one another, and symbols are the only rows here that may repeat.
+    edges = edges.dropDuplicates(["id"]) if _repeats(symbols) else edges
+    return nodes, edges.unionByName(_edge(r, F.col("x.kind"), src, F.col("dst"), path, F.col("x.reason")))
+
+
+def _repeats(symbols: DataFrame) -> bool:
+    """Whether a document declares a local id twice."""
+    return not symbols.groupBy("doc_key", "local_id").count().where("count > 1").isEmpty()
+
+
+def _many_reasons(relations: DataFrame) -> bool:
+    """Whether a kind of relations has several reasons; then one edge takes the least."""
+    return not relations.groupBy("kind").agg(F.min("reason").alias("a"), F.max("reason").alias("b")).where("a <> b").isEmpty()
 
 
 def index_stats(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .query import Graph
 def packages(manifests: DataFrame) -> DataFrame:
     """``name, path, prefix`` of the manifests (path, content) with a package section; manifests of build
     output do not count. The name is the first ``name`` line's value of the section, else the folder's name."""
-    lines = F.transform(F.split("content", "\r?\n"), F.trim)
+    lines = F.transform(F.split("content", "\r?\n"), lambda x: F.trim(x))  # trim itself would take the place as what to trim
     at = F.array_position("lines", "[package]")
     rest = F.slice("lines", (at + 1).cast("int"), F.greatest(F.size("lines"), F.lit(1)))
     end = F.array_position(F.transform(rest, lambda x: x.startswith("[")), True)

@@ -48,6 +48,13 @@ class Graph:
             raise NotFound(target)
         return row["id"]
 
+    def node(self, node_id: str) -> DataFrame:
+        """The node with exactly this id; an error if there is none."""
+        found = self.nodes.where(F.col("id") == node_id)
+        if found.isEmpty():
+            raise NotFound(node_id)
+        return found
+
     def _rows(self, ids: DataFrame) -> DataFrame:
         return self.nodes.join(ids.select("id").distinct(), "id", "left_semi")
 
@@ -86,23 +93,28 @@ class Graph:
         edges = self.edges.where(F.col("kind").isin(*kinds))
         spark = self.nodes.sparkSession
         seen = frontier = spark.createDataFrame([(t, 0)], "id string, level int")
-        found = None
+        found, before = None, None
         for level in range(depth):
+            near = F.broadcast(frontier)
             if level:
-                frontier = frontier.persist()
                 n = frontier.limit(FRONTIER_ROWS + 1).count()
                 if not n:
                     break
-                near = F.broadcast(frontier) if n <= FRONTIER_ROWS else frontier
-            else:
-                near = F.broadcast(frontier)
+                near = near if n <= FRONTIER_ROWS else frontier
             at = near.select(F.col("id").alias("cur"))
             on = {"outbound": F.col("src") == F.col("cur"), "inbound": F.col("dst") == F.col("cur")}
             hops = [edges.join(at, on[d]).withColumn("next", F.col("dst" if d == "outbound" else "src")) for d in on if direction in (d, "both")]
-            hop = (hops[0] if len(hops) == 1 else hops[0].unionByName(hops[1])).persist()  # read by three plans
+            hop = hops[0] if len(hops) == 1 else hops[0].unionByName(hops[1])
             found = hop.select(*self.edges.columns) if found is None else found.unionByName(hop.select(*self.edges.columns))
-            frontier = hop.select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level + 1))
-            seen = seen.unionByName(frontier).persist()
+            reached = hop.select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level + 1))
+            # One table of all that is reached so far is kept; the one before is let go once this one is there.
+            seen = seen.unionByName(reached).persist()
+            frontier = seen.where(F.col("level") == level + 1)
+            if level + 1 < depth:
+                seen.count()
+            if before is not None:
+                before.unpersist()
+            before = seen
         found = self.edges.limit(0) if found is None else found.dropDuplicates(["id"])
         return t, seen, found
 
@@ -116,12 +128,13 @@ class Graph:
         ids = seen.where("level > 0").select("id").unionByName(e.where(F.col("src") == t).select(F.col("src").alias("id")))
         return self._rows(ids), e
 
-    def explain(self, target: str) -> DataFrame:
-        """One row: counts of all edges in and out, up to five caller and callee names, summary."""
+    def explain(self, target: str, snippet=None) -> DataFrame:
+        """One row: counts of all edges in and out, up to five caller and callee names, summary; with
+        ``snippet`` (a function of the node's id) its source as well."""
         t = self.resolve(target)
         e = self.edges.where((F.col("src") == t) | (F.col("dst") == t))
         x = e.join(self.nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), F.col("other") == F.when(F.col("dst") == t, F.col("src")).otherwise(F.col("dst")), "left")
-        five = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(c, F.col("other_name")))), 1, 5), ",")
+        five = lambda c: F.slice(F.array_sort(F.collect_set(F.when(c, F.col("other_name")))), 1, 5)
         c = x.agg(
             F.count_if(F.col("dst") == t).alias("incoming"), F.count_if(F.col("src") == t).alias("outgoing"),
             five((F.col("dst") == t) & F.col("kind").isin("Calls", "References")).alias("top_callers"), five((F.col("src") == t) & (F.col("kind") == "Calls")).alias("top_callees"),
@@ -129,7 +142,8 @@ class Graph:
         n = self.nodes.where(F.col("id") == t).select("id", F.coalesce("fq_name", "name").alias("label"), F.coalesce("symbol_kind", "kind").alias("what"), "path", "start_line")
         place = F.coalesce(F.concat("path", F.lit(":"), F.col("start_line").cast("string")), F.lit("unknown location"))
         text = F.concat("label", F.lit(" ["), "what", F.lit("] — "), F.col("incoming").cast("string"), F.lit(" callers, "), F.col("outgoing").cast("string"), F.lit(" dependencies. Defined at "), place, F.lit("."))
-        return n.join(F.broadcast(c)).select("id", text.alias("summary"), "incoming", "outgoing", "top_callers", "top_callees")  # single rows
+        out = n.join(F.broadcast(c)).select("id", text.alias("summary"), "incoming", "outgoing", "top_callers", "top_callees")  # single rows
+        return out if snippet is None else out.withColumn("source_snippet", F.lit(snippet(t)))
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         q = _lower(query)
@@ -147,7 +161,8 @@ class Graph:
         return n.join(F.broadcast(self.edges.agg(F.count("*").alias("edges"))))  # single rows
 
     def languages(self) -> DataFrame:
-        return self.nodes.where("kind = 'File'").groupBy("language").agg(F.count("*").alias("files"))
+        """Files by language, most files first."""
+        return self.nodes.where("kind = 'File'").groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language")
 
     def top_referenced(self, n: int = 10) -> DataFrame:
         inbound = self.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))

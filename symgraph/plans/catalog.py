@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build
+from ..operators.packages import package_graph, packages
 from ..operators.query import Graph, SymbolFilter
+from ..session import change_keys
+from ..streaming.watch import latest
 from .projection import graph
 
 PLATE, SUPPLIER = "red plate", "Supplier#000000003"
@@ -78,6 +81,45 @@ found AS (SELECT DISTINCT hops.id FROM hops JOIN seen ON cur = seen.id WHERE lev
 """
 
 
+#: Packages of the projected repository: all of it, the parts, and the suppliers of some nations.
+MANIFESTS = {"/repo": "root", "/repo/parts": "parts", "/repo/suppliers/NATION_1": "ones"}
+PACKAGES = f""", m(path, name) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in MANIFESTS.items())}),
+owned AS (SELECT id, kind, CASE WHEN starts_with(lower(path), '/repo/parts') THEN 'parts' WHEN starts_with(lower(path), '/repo/suppliers/nation_1') THEN 'ones' ELSE 'root' END AS package
+  FROM nodes WHERE path IS NOT NULL AND kind IN ('File', 'Symbol'))
+"""
+
+
+def manifests(spark: SparkSession) -> DataFrame:
+    rows = [(f"{path}/Cargo.toml", f'[workspace]\nname = "no"\n\n[package]\nversion = "1"\nname = "{name}"\n[lib]\nname = "no"\n') for path, name in MANIFESTS.items()]
+    return spark.createDataFrame([*rows, ("/repo/target/x/Cargo.toml", '[package]\nname = "built"\n'), ("/repo/y/Cargo.toml", "[workspace]\n")], "path string, content string")
+
+
+def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of manifests made from ``nation``; every fifth has no name, so its folder's counts."""
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    line = F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(' name="'), "n_name", F.lit('"\r\n')))
+    content = F.concat(F.lit("[package]\r\n"), line, F.lit("[dependencies]\nname = \"no\"\n"))
+    return packages(t.select(F.concat(F.lit("/Repo/Pkg"), F.col("n_regionkey").cast("string"), F.lit("\\"), "n_name", F.lit("_/Cargo.toml")).alias("path"), content.alias("content")))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change feed made from ``orders``: a path for each customer, some of them in folders that are skipped."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    folder = F.when(F.col("o_custkey") % 7 == 0, F.lit("node_modules")).otherwise(F.lit("Src"))
+    path = F.concat(F.lit("/repo/"), folder, F.lit("/C"), F.col("o_custkey").cast("string"), F.lit(".py"))
+    op = F.when(F.col("o_orderstatus") == "F", F.lit("delete")).otherwise(F.lit("upsert"))
+    return t.select(path.alias("path"), op.alias("op"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("long").alias("seq"))
+
+
+CHANGES = """WITH c AS (SELECT '/repo/' || CASE WHEN o_custkey % 7 = 0 THEN 'node_modules' ELSE 'Src' END || '/C' || o_custkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'upsert' END AS op, o_orderpriority AS source, o_orderkey AS seq FROM orders)
+"""
+#: Queries of the tables themselves, without the graph.
+PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "package_names": (package_names, "SELECT CASE WHEN n_nationkey % 5 = 0 THEN n_name || '_' ELSE n_name END AS name, '/Repo/Pkg' || n_regionkey || '/' || n_name || '_' AS path, lower('/Repo/Pkg' || n_regionkey || '/' || n_name || '_') AS prefix FROM nation"),
+    "change_feed_latest": (lambda spark, d: latest(changes(spark, d)), CHANGES + "SELECT lower(path) AS key, arg_max(path, (seq, op)) AS path, arg_max(op, (seq, op)) AS op, arg_max(source, (seq, op)) AS source FROM c GROUP BY lower(path)"),
+    "change_feed_keys": (lambda spark, d: change_keys(changes(spark, d).select("path")).groupBy("key").agg(F.count("*").alias("n")), CHANGES + "SELECT lower(path) AS key, count(*) AS n FROM c WHERE NOT contains(path, '/node_modules/') GROUP BY ALL"),
+}
+
 ALL_KINDS = "'DependsOn', 'Calls', 'References', 'Imports'"
 Entry = tuple[Callable[[Graph, tuple], DataFrame], str]
 
@@ -98,12 +140,14 @@ def entries() -> dict[str, Entry]:
         "callers_nodes": (lambda g, t: n(g.callers(PLATE)[0]), f"SELECT {NODES} FROM nodes WHERE id = {TARGET.format(PLATE)} OR id IN (SELECT src FROM edges WHERE kind = 'Calls' AND dst = {TARGET.format(PLATE)})"),
         "callers_edges": (lambda g, t: e(g.callers(PLATE)[1]), f"SELECT {EDGES} FROM edges WHERE kind = 'Calls' AND dst = {TARGET.format(PLATE)}"),
         "callees_nodes": (lambda g, t: n(g.callees(SUPPLIER)[0]), f"SELECT {NODES} FROM nodes WHERE id = {TARGET.format(SUPPLIER)} OR id IN (SELECT dst FROM edges WHERE kind = 'Calls' AND src = {TARGET.format(SUPPLIER)})"),
+        "callees_edges": (lambda g, t: e(g.callees(SUPPLIER)[1]), f"SELECT {EDGES} FROM edges WHERE kind = 'Calls' AND src = {TARGET.format(SUPPLIER)}"),
+        "node": (lambda g, t: n(g.node("file::/repo/suppliers/nation_3.py")), f"SELECT {NODES} FROM nodes WHERE id = 'file::/repo/suppliers/nation_3.py'"),
         "references": (
             lambda g, t: g.references(PLATE).select("edge_id", "edge_kind", "src", "name"),
             f"SELECT e.id AS edge_id, e.kind AS edge_kind, src, n.name FROM edges e JOIN nodes n ON n.id = src WHERE e.kind IN ('References', 'Calls', 'Imports') AND dst = {TARGET.format(PLATE)}",
         ),
         "explain": (
-            lambda g, t: g.explain(PLATE),
+            lambda g, t: g.explain(PLATE).withColumns({c: F.array_join(c, ",") for c in ("top_callers", "top_callees")}),
             f""", t AS (SELECT {TARGET.format(PLATE)} AS t),
 x AS (SELECT e.*, n.name AS other FROM edges e JOIN t ON src = t OR dst = t JOIN nodes n ON n.id = CASE WHEN dst = t THEN src ELSE dst END),
 c AS (SELECT count(*) FILTER (dst = t) AS incoming, count(*) FILTER (src = t) AS outgoing,
@@ -123,6 +167,12 @@ FROM s WHERE raw > 0 ORDER BY score DESC, name, id LIMIT 20""",
         "summary_languages": (lambda g, t: g.languages(), "SELECT language, count(*) AS files FROM nodes WHERE kind = 'File' GROUP BY language"),
         "summary_top_referenced": (lambda g, t: g.top_referenced(10), "SELECT n.id, name, count(*) AS inbound FROM nodes n JOIN edges e ON dst = n.id WHERE n.kind = 'Symbol' GROUP BY ALL ORDER BY inbound DESC, name, n.id LIMIT 10"),
         "summary_entry_points": (lambda g, t: g.entry_points(10).select("id"), "SELECT id FROM nodes WHERE kind = 'Symbol' AND symbol_kind = 'Function' AND id NOT IN (SELECT dst FROM edges) ORDER BY id LIMIT 10"),
+        "entry_points_of_calls": (lambda g, t: Graph(g.nodes, g.edges.where("kind = 'Calls'")).entry_points(10).select("id"), "SELECT id FROM nodes WHERE kind = 'Symbol' AND symbol_kind = 'Function' AND id NOT IN (SELECT dst FROM edges WHERE kind = 'Calls') ORDER BY id LIMIT 10"),
+        "package_nodes": (lambda g, t: package_graph(g, manifests(g.nodes.sparkSession))[0], f"{PACKAGES} SELECT name, m.path, count(*) FILTER (kind = 'File') AS file_count, count(*) FILTER (kind = 'Symbol') AS symbol_count FROM m LEFT JOIN owned ON package = name GROUP BY ALL"),
+        "package_edges": (
+            lambda g, t: package_graph(g, manifests(g.nodes.sparkSession))[1],
+            f"{PACKAGES} SELECT a.package AS src, b.package AS dst, count(*) AS evidence_count FROM edges e JOIN owned a ON a.id = src JOIN owned b ON b.id = dst WHERE e.kind = 'DependsOn' AND a.package <> b.package GROUP BY ALL",
+        ),
         "summary_largest_files": (lambda g, t: g.largest_files(10), "SELECT path, count(*) AS symbols FROM nodes WHERE kind = 'Symbol' AND path IS NOT NULL GROUP BY path ORDER BY symbols DESC, string_split(path, '/') LIMIT 10"),
     }
     for kind in ("Contains", "Defines", "OwnedBy", "Imports", "References", "Calls", "DependsOn"):
@@ -150,8 +200,8 @@ FROM s WHERE raw > 0 ORDER BY score DESC, name, id LIMIT 20""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(*graph(spark, sf_dir))) for k, (f, _) in entries().items()}
+    return {k: (lambda spark, sf_dir, f=f: f(*graph(spark, sf_dir))) for k, (f, _) in entries().items()} | {k: f for k, (f, _) in PLAIN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: PRELUDE + sql for k, (_, sql) in entries().items()}
+    return {k: PRELUDE + sql for k, (_, sql) in entries().items()} | {k: sql for k, (_, sql) in PLAIN.items()}

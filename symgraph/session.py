@@ -63,7 +63,8 @@ class RepositorySession:
         """``changes`` (key, state): keys whose documents ``files`` replace, or that are missing, folders included."""
         if self.store.meta() is None:
             return self.build_full()
-        old = self.store.read("documents")
+        meta = self.store.meta()
+        old = self.store.read("documents", meta)
         new = extract_documents(files).persist()
         # A document goes if its key or a folder above it is named: equal keys only, no prefix join.
         parts = F.split("doc_key", "/")
@@ -76,10 +77,27 @@ class RepositorySession:
             new.unpersist()
             return self.stats()
         drop = gone.unionByName(changed.select("doc_key")).distinct()
-        return self._write(old.join(drop, "doc_key", "left_anti").unionByName(changed), self.store.meta()["revision"] + 1)
+        try:
+            return self._write(old.join(drop, "doc_key", "left_anti").unionByName(changed), meta["revision"] + 1)
+        finally:
+            new.unpersist()
 
     def graph(self) -> Graph:
-        return Graph(self.store.read("nodes"), self.store.read("edges").select("id", "kind", "src", "dst", "file_path", "reason"))
+        """The graph of the current version; later writes leave it as it is."""
+        meta = self.store.meta()
+        return Graph(self.store.read("nodes", meta), self.store.read("edges", meta).select("id", "kind", "src", "dst", "file_path", "reason"))
+
+    def explain(self, target: str) -> DataFrame:
+        return self.graph().explain(target, self.snippet)
+
+    def register_views(self) -> None:
+        """SQL views ``nodes, edges, documents, symbols, relations`` of the current version."""
+        meta, g = self.store.meta(), self.graph()
+        g.nodes.createOrReplaceTempView("nodes")
+        g.edges.createOrReplaceTempView("edges")
+        documents = self.store.read("documents", meta)
+        for name, df in zip(("documents", "symbols", "relations"), tables(documents), strict=True):
+            df.createOrReplaceTempView(name)
 
     def package_graph(self) -> tuple[DataFrame, DataFrame]:
         return package_graph(self.graph(), repository.manifests(self.spark, self.repo_path))
@@ -89,8 +107,9 @@ class RepositorySession:
         row = self.store.read("nodes").where(F.col("id") == node_id).select("path", "start_line", "end_line").first()
         if row is None or row["start_line"] is None or not os.path.isfile(row["path"]):
             return None
-        with open(row["path"], encoding="utf-8") as f:
-            return "\n".join(f.read().splitlines()[row["start_line"] - 1 : min(row["end_line"], row["start_line"] - 1 + lines)])
+        with open(row["path"], encoding="utf-8", newline="") as f:
+            found = [x.removesuffix("\r") for x in f.read().split("\n")]
+        return "\n".join(found[row["start_line"] - 1 : min(row["end_line"], row["start_line"] - 1 + lines)]) or None
 
     def indexed_files(self) -> DataFrame:
         return self.store.read("documents").select("doc_key").distinct()

@@ -1,22 +1,35 @@
-"""Versioned store: each write is a new folder ``v{n}``; the pointer file ``CURRENT`` names the one to read.
-
-Writers never change a version that readers hold. A write that stops half-way leaves the pointer as it was;
-opening the store deletes folders that no pointer names. All through Spark's file systems.
+"""Versioned store: each write is a new folder ``v{n}-{writer}``; the pointer ``CURRENT-{n}`` with the highest
+number names the one to read.
+
+Pointers never change once they are there, and a writer makes its own by creating it exclusively, so there is
+no moment without one, and of two writers of the same number one fails (where the file system's rename does
+not overwrite; a local one's may, if they come at the same instant). Readers keep their version: a write
+leaves the version before it, and older ones and unfinished writes go only when they are older than
+``KEEP_SECONDS``, in a write, never when a store is opened. All through Spark's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("documents", "nodes", "edges")
+#: Folders that no reader can be given any more go after this time.
+KEEP_SECONDS = 3600
 
 
 class StoreError(RuntimeError):
     """The store cannot be read or written."""
 
 
+class Conflict(StoreError):
+    """Another writer has written this version."""
+
+
 def store_path(path: str) -> str:
     """A path that names an index is kept; else ``index`` is put below it, without its extension."""
     folder, slash, last = path.rstrip("/").rpartition("/")
@@ -32,48 +45,64 @@ class Store:
         self._path = lambda x="": spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}" if x else self.path)
         self.fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path())
-        self.vacuum()
+
+    def _pointers(self) -> list[int]:
+        names = [x.getPath().getName() for x in self.fs.listStatus(self._path())]
+        return sorted(int(m[1]) for m in map(re.compile(r"CURRENT-(\d+)").fullmatch, names) if m)
 
     def meta(self) -> dict | None:
-        """``version, revision, repo_path`` of the current version; none if nothing was written."""
-        if not self.fs.exists(self._path("CURRENT")):
+        """``version, folder, revision, repo_path`` of the current version; none if nothing was written."""
+        found = self._pointers()
+        if not found:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
-
-    def read(self, table: str) -> DataFrame:
-        meta = self.meta()
+        try:
+            return json.loads(self.spark.read.text(f"{self.path}/CURRENT-{found[-1]}").first()[0])
+        except (TypeError, ValueError) as e:
+            raise StoreError(f"the pointer {found[-1]} of {self.path} is damaged") from e
+
+    def read(self, table: str, meta: dict | None = None) -> DataFrame:
+        """A table of the current version, or of the one that ``meta`` is of."""
+        meta = meta or self.meta()
         if meta is None:
             raise StoreError(f"nothing is stored at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{meta['version']}/{table}")
+        return self.spark.read.parquet(f"{self.path}/{meta['folder']}/{table}")
 
     def size(self) -> int:
         return self.fs.getContentSummary(self._path()).getLength()
 
-    def replace(self, tables: dict[str, DataFrame], repo_path: str, revision: int) -> int:
-        """Write a version, point to it and drop the others; returns the bytes that this frees."""
+    def replace(self, tables: dict[str, DataFrame], repo_path: str, revision: int, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Write a version and point to it; returns the bytes that old versions have freed."""
         meta = self.meta()
         version = (meta["version"] if meta else 0) + 1
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
             w = df.write.mode("overwrite")
-            (w.partitionBy("kind") if name == "edges" else w).parquet(f"{self.path}/v{version}/{name}")
-        before = self.size()
-        text = json.dumps({"version": version, "revision": revision, "repo_path": repo_path})
-        out = self.fs.create(self._path("_CURRENT.next"), True)
+            (w.partitionBy("kind") if name == "edges" else w).parquet(f"{self.path}/{folder}/{name}")
+        text = json.dumps({"version": version, "folder": folder, "revision": revision, "repo_path": repo_path})
+        if self.fs.exists(self._path(f"CURRENT-{version}")):
+            raise Conflict(f"version {version} of {self.path} is there already")
+        # The pointer appears whole: it is written aside and renamed, which fails where one is there.
+        aside = self._path(f"_next-{folder}")
+        out = self.fs.create(aside, False)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self._path("CURRENT"), False)
-        if not self.fs.rename(self._path("_CURRENT.next"), self._path("CURRENT")):
-            raise StoreError(f"cannot point to version {version} of {self.path}")
-        self.vacuum()
+        if not self.fs.rename(aside, self._path(f"CURRENT-{version}")):
+            self.fs.delete(aside, False)
+            raise Conflict(f"cannot point to version {version} of {self.path}")
+        before = self.size()
+        self.vacuum(keep_seconds)
         return max(0, before - self.size())
 
-    def vacuum(self) -> None:
-        """Delete versions that the pointer does not name; finish a pointer whose rename was cut off."""
-        if self.fs.exists(self._path("_CURRENT.next")) and not self.fs.exists(self._path("CURRENT")):
-            self.fs.rename(self._path("_CURRENT.next"), self._path("CURRENT"))
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS) -> None:
+        """Delete what is neither the current version nor the one before, and older than ``keep_seconds``."""
         meta = self.meta()
-        keep = f"v{meta['version']}" if meta else None
+        current = meta["version"] if meta else 0
+        limit = time.time() * 1000 - 1000 * keep_seconds
         for status in self.fs.listStatus(self._path()):
             name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and name != keep:
+            m = re.fullmatch(r"(?:_next-)?v(\d+)-\w+|CURRENT-(\d+)", name)
+            if m is None or meta and name == meta["folder"]:
+                continue
+            n = int(m[1] or m[2])
+            if not (m[2] and n == current) and n != current - 1 and status.getModificationTime() < limit:
                 self.fs.delete(status.getPath(), True)

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import time
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.ids import norm_path
+from ..functions.ids import EXTENSIONS, norm_path
 from ..session import RepositorySession, change_keys
-from ..sources.repository import with_language
+from ..sources.repository import SKIPPED, with_language
 
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change (by ``seq``) of each path of ``changes`` (path, op, source, seq)."""
-    by = changes.groupBy(norm_path(F.col("path")).alias("key")).agg(F.max_by(F.struct("path", "op", "source"), "seq").alias("x"))
+    """The last change of each path of ``changes`` (path, op, source, seq): by ``seq``, and of equal ones by op
+    and source."""
+    by = changes.groupBy(norm_path(F.col("path")).alias("key")).agg(F.max_by(F.struct("path", "op", "source"), F.struct("seq", "op", "source", "path")).alias("x"))
     return by.select("key", "x.*")
 
 
@@ -33,3 +39,35 @@ def watch(session: RepositorySession, changes: DataFrame, checkpoint: str, trigg
     failure; that changes nothing, since equal content keeps the revision."""
     writer = changes.writeStream.foreachBatch(lambda df, _: apply_batch(session, df)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
+
+
+def folder_state(root: str) -> dict[str, tuple[int, int]]:
+    """Time and size of each file below a folder that an index may hold."""
+    found = {}
+    for at, folders, names in os.walk(root):
+        folders[:] = [x for x in folders if x not in SKIPPED]
+        for name in names:
+            path = os.path.join(at, name)
+            with contextlib.suppress(OSError):  # it may go meanwhile
+                s = os.stat(path)
+                found[path] = (s.st_mtime_ns, s.st_size)
+    return found
+
+
+def poll(session: RepositorySession, seconds: float = 0.5, stop: Callable[[], bool] = lambda: False, quiet: float = 0.2) -> Iterator[dict]:
+    """Watch the repository's folder: the session's statistics after each refresh that changed something.
+    Changes are taken once the folder has been still for ``quiet`` seconds."""
+    before = folder_state(session.repo_path)
+    while not stop():
+        time.sleep(seconds)
+        now = folder_state(session.repo_path)
+        if now == before:
+            continue
+        while (later := (time.sleep(quiet), folder_state(session.repo_path))[1]) != now:
+            now = later
+        changed = [p for p in before.keys() | now.keys() if before.get(p) != now.get(p) and p.rpartition(".")[2].lower() in EXTENSIONS]
+        before, revision = now, session.stats()["revision"]
+        if changed:
+            stats = session.refresh_paths(sorted(changed))
+            if stats["revision"] != revision:
+                yield stats

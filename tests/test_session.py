@@ -1,14 +1,19 @@
 """Extraction, store, refresh, change feed and package graph on small repositories."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 
 from symgraph import cli
 from symgraph.functions.scanner import extract
+from symgraph.operators.query import NotFound, SymbolFilter
+from symgraph.serve import serve
 from symgraph.session import RepositorySession, memory_budget
-from symgraph.sources.store import store_path
-from symgraph.streaming.watch import watch
+from symgraph.sources.store import Conflict, StoreError, store_path
+from symgraph.streaming.watch import latest, poll, watch
 
 
 def test_scanner():
@@ -67,7 +72,100 @@ def test_session(spark, repo, tmp_path):
     (repo / "pkg").rmdir()
     assert s.refresh_paths(["pkg"])["file_count"] == 1
     assert s.health()["revision"] == 3
-    assert [p.name for p in (tmp_path / "index").glob("v*")] == ["v3"]
+    s.store.vacuum(0)
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "index").glob("v*")) == ["v2", "v3"]
+
+
+def test_two_sessions(spark, repo, tmp_path):
+    at = f"file://{tmp_path}/index"
+    one = RepositorySession(spark, str(repo), at)
+    one.build_full()
+    held = one.graph()
+    two = RepositorySession(spark, str(repo), at)  # opening deletes nothing
+    unfinished = tmp_path / "index" / "v9-beef"
+    unfinished.mkdir()
+    RepositorySession(spark, str(repo), at)
+    assert unfinished.exists()
+    (repo / "main.rs").write_text("fn other() {}\n")
+    assert two.refresh_paths(["main.rs"])["revision"] == 2
+    assert {r["name"] for r in held.find_symbol(SymbolFilter()).collect()} == {"helper", "main", "keep"}  # the version that it began with
+    assert {r["name"] for r in one.graph().find_symbol(SymbolFilter()).collect()} == {"other", "keep"}
+    documents, nodes, edges = (one.store.read(t) for t in ("documents", "nodes", "edges"))
+    (tmp_path / "index" / "CURRENT-3").write_text("{}")  # as if a writer had been faster
+    one.store.meta = lambda: json.loads((tmp_path / "index" / "CURRENT-2").read_text())
+    with pytest.raises(Conflict):
+        one.store.replace({"documents": documents, "nodes": nodes, "edges": edges}, str(repo), 3)
+    (tmp_path / "index" / "CURRENT-3").write_text("not json")
+    with pytest.raises(StoreError):
+        two.store.meta()
+
+
+def test_snippets_views_and_nodes(spark, repo, tmp_path):
+    (repo / "main.rs").write_bytes(b"// \x0c one\xe2\x80\xa8\r\nfn helper() {\r\n}\r\n\nfn main() {\n    helper();\n}\n")
+    s = RepositorySession(spark, str(repo), f"file://{tmp_path}/index")
+    s.build_full()
+    assert s.snippet(s.graph().resolve("helper")) == "fn helper() {\n}"
+    row = s.explain("helper").first()
+    assert row["source_snippet"] == "fn helper() {\n}" and row["top_callers"] == ["keep", "main"] and row["top_callees"] == []
+    s.register_views()
+    assert spark.sql("SELECT count(*) FROM nodes n JOIN edges e ON e.dst = n.id WHERE n.name = 'helper' AND e.kind = 'Calls'").first()[0] == 2
+    assert {spark.table(t).count() > 0 for t in ("nodes", "edges", "documents", "symbols", "relations")} == {True}
+    assert s.graph().node("file::" + str(repo).lower() + "/main.rs").first()["name"] == "main.rs"
+    with pytest.raises(NotFound):
+        s.graph().node("main")
+    (repo / "bad.py").write_bytes(b"x = '\xff\xfe'\n")
+    with pytest.raises(Exception, match="(?i)utf|decode"):
+        s.build_full()
+
+
+def test_http(spark, repo, tmp_path):
+    s = RepositorySession(spark, str(repo), f"file://{tmp_path}/index")
+    server = serve(s)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        r = urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}{path}", None if body is None else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(r, timeout=120) as x:
+                return x.status, json.loads(x.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("/graph/callers?symbol=helper")[0] == 503  # nothing is stored yet
+        assert call("/index/open", {})[1]["file_count"] == 2
+        assert sorted(x["name"] for x in call("/graph/callers?symbol=helper")[1]["nodes"]) == ["helper", "keep", "main"]
+        assert call("/graph/find_symbol?name=main")[1]["nodes"][0]["symbol_kind"] == "Function"
+        assert call("/graph/explain?symbol=main")[1]["top_callees"] == ["helper"]
+        assert all(call(f"/graph/{x}&target=helper")[1]["edges"] for x in ("dependencies?direction=inbound", "impact?depth=1"))
+        assert len(call("/graph/references?symbol=helper")[1]["references"]) >= 2 and call("/graph/callees?symbol=main")[0] == 200
+        assert call("/graph/callers?symbol=none") == (404, {"error": "NotFound", "message": "none"})
+        assert call("/nowhere")[0] == 404 and call("/index/refresh", {"paths": 3})[0] == 400 and call("/graph/impact?target=main&depth=x")[0] == 400
+        (repo / "main.rs").write_text("fn fresh() {}\n")
+        assert call("/index/refresh", {"paths": ["main.rs"]})[1]["revision"] == 2
+        assert call("/graph/find_symbol?name=fresh")[1]["nodes"] and call("/graph/find_symbol?name=main")[1]["nodes"] == []  # the graph was swapped
+        assert call("/health")[1]["revision"] == 2
+    finally:
+        server.shutdown()
+
+
+def test_watched_folder(spark, repo, tmp_path):
+    s = RepositorySession(spark, str(repo), f"file://{tmp_path}/index")
+    s.build_full()
+    events = poll(s, 0.05, quiet=0.1)
+    timer = threading.Timer(0.5, lambda: [(repo / "main.rs").write_text("fn seen() {}\n"), (repo / "note.unknown").write_text("x"), (repo / "node_modules" / "y.js").write_text("function no() {}")])
+    timer.start()
+    assert next(events)["revision"] == 2
+    assert "seen" in {r["name"] for r in s.graph().find_symbol(SymbolFilter()).collect()}
+    timer = threading.Timer(0.5, lambda: (repo / "main.rs").unlink())
+    timer.start()
+    assert next(events)["file_count"] == 1
+
+
+def test_equal_sequence_numbers(spark):
+    rows = [("/a.py", "upsert", "one", 1), ("/a.py", "upsert", "two", 1), ("/A.py", "delete", None, 0)]
+    for some in (rows, rows[::-1]):
+        assert [tuple(r) for r in latest(spark.createDataFrame(some, "path string, op string, source string, seq long").repartition(3)).collect()] == [("/a.py", "/a.py", "upsert", "two")]
 
 
 def test_single_file_counts(spark, tmp_path):
@@ -98,3 +196,6 @@ def test_cli(spark, repo, tmp_path, capsys):
     assert {n["name"] for n in said("query", "impact", "helper")["nodes"]} == {"keep", "main"}
     assert said("query", "summary")["counts"][0]["files"] == 2
     assert said("query", "crate-graph")["nodes"][0]["name"] == "pkg"
+    assert said("query", "explain", "main")["explain"][0]["source_snippet"].startswith("fn main")
+    export = said("export")
+    assert {n["id"] for n in export["nodes"]} >= {e[k] for e in export["edges"] for k in ("src", "dst")} and len(export["edges"]) == len({e["id"] for e in export["edges"]})
