@@ -264,15 +264,21 @@ class Copies:
         # pair is outside the word's largest component.
         rest = words.join(checked(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
         row = F.struct("label", "node", "at")
-        keys = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo.label <> hi.label")
+        xor = [F.bit_xor(c).alias(f"x{c}") for c in ("label", "node", "at")]
+        keys = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(row).alias("lo"), F.max(row).alias("hi"), *xor).where("lo.label <> hi.label")
         keys = materialize(keys, "open-words")
-        # Words of two nodes are pairs as they are; the others' nodes join.
-        two = keys.where("n = 2").select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"), F.col("lo.at").alias("x"), F.col("hi.at").alias("y")).where(match("x", "y"))
-        rest = materialize(rest.join(keys.where("n > 2").select("key"), "key", "left_semi"), "open")
+        # Words of two or three nodes give their pairs as they are (the third is what the XOR of all has besides
+        # the least and the largest); the others' nodes join.
+        third = F.struct(*[F.col(f"x{c}").bitwiseXOR(F.col(f"lo.{c}")).bitwiseXOR(F.col(f"hi.{c}")).alias(c) for c in ("label", "node", "at")])
+        ends, both = F.struct("lo", "hi"), lambda p, q: F.struct(p.alias("lo"), q.alias("hi"))
+        some = F.when(F.col("n") == 2, F.array(ends)).otherwise(F.array(ends, both(F.col("lo"), third), both(third, F.col("hi"))))
+        few = keys.where("n <= 3").select(F.explode(some).alias("p")).where("p.lo.label <> p.hi.label")
+        few = few.select(*[F.col(f"p.{k}").alias(c) for k, c in (("lo.node", "a"), ("hi.node", "b"), ("lo.at", "x"), ("hi.at", "y"))]).where(match("x", "y"))
+        rest = materialize(rest.join(keys.where("n > 3").select("key"), "key", "left_semi"), "open")
         largest = rest.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
         rest = rest.join(largest, "key").withColumn("inside", F.col("label") == F.col("largest"))
         x, y = (rest.select(F.col("key").alias(f"q{k}"), F.col("node").alias(k), F.col("at").alias(c), F.col("label").alias(f"l{k}"), F.col("inside").alias(f"i{k}")) for k, c in ("ax", "by"))
-        near = x.where("NOT ia").join(y, (F.col("qa") == F.col("qb")) & (F.col("la") != F.col("lb")) & (F.col("ib") | (F.col("a") < F.col("b"))) & match("x", "y")).select("a", "b", "x", "y").unionByName(two)
+        near = x.where("NOT ia").join(y, (F.col("qa") == F.col("qb")) & (F.col("la") != F.col("lb")) & (F.col("ib") | (F.col("a") < F.col("b"))) & match("x", "y")).select("a", "b", "x", "y").unionByName(few)
         # The same two nodes may meet either way round, at words of different largest components.
         turned = F.col("a") > F.col("b")
         near = near.select(*[F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"))])
