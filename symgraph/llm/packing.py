@@ -35,7 +35,7 @@ from .common import checked, materialize
 
 CAPACITY, END_ID = 4096, 1
 #: Words that a Python worker keeps the ids of, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 400_000, 64
 #: Pieces of one length that share a range, on average, up to MAX_RANGES ranges a length.
 RANGE_ROWS, MAX_RANGES = 256, 65_536
 _SLICE = 1 << 20
@@ -58,7 +58,7 @@ class WordEncoder:
     kept packed (little-endian 32 bits), in two generations: the older half of the cache goes when the
     newer one is full. Special tokens' strings in a text are ordinary text.
 
-    Words of letters that normalisation leaves as they are are encoded in bulk: each
+    Words of letters of which normalisation changes the case alone are encoded in bulk: each
     is one run of letters, so it has one token that ends a run, its last. All other words are encoded one by
     one, as they are."""
 
@@ -76,52 +76,55 @@ class WordEncoder:
             self.last[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        #: Characters, and whether they are letters that stay as they are.
+        #: Characters, and whether they are letters that stay one letter.
         self.plain: dict[str, bool] = {}
 
     def _letters(self, text: str) -> bool:
-        """Whether the text is a run of letters, to the tokenizer too, that its normalisation changes nothing of."""
+        """Whether the text is a run of letters, to the tokenizer too, of which its normalisation changes the case alone."""
         if text.isascii():
             return text.isalpha()
         for c in set(text).difference(self.plain):
-            alone = c.isalpha() and self.tokenizer.normalizer.normalize_str(c) == c
-            self.plain[c] = alone and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}.")) == 2
-        return all(map(self.plain.__getitem__, text)) and unicodedata.normalize("NFC", text) == text
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        whole = list(map(self._letters, texts))
-        rest = [i for i, x in enumerate(whole) if not x]
-        letters = [i for i, x in enumerate(whole) if x]
+            low = self.tokenizer.normalizer.normalize_str(c)
+            alone = c.isalpha() and len(low) == 1 and low.isalpha()
+            self.plain[c] = alone and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{low}.")) == 2
+        return all(map(self.plain.__getitem__, text)) and unicodedata.is_normalized("NFC", text)
+
+    def _encode(self, plain: dict[bytes, str], rest: dict[bytes, str]) -> None:
+        """Put words into the cache: runs of plain letters in bulk, others one by one."""
+        letters = list(plain)
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            ids = np.array(self.tokenizer.encode(" ".join([plain[w] for w in part]), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
             if len(ends) != len(part):
-                rest += part
+                rest.update((w, plain[w]) for w in part)
                 continue
-            packed, lo = ids.tobytes(), 0
-            for i, hi in zip(part, ends.tolist(), strict=True):
-                self.cache[words[i]] = packed[lo:hi]
-                lo = hi
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                self.cache[words[i]] = np.array(e.ids, "<u4").tobytes()
+            packed = ids.tobytes()
+            self.cache.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        others = list(rest)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([rest[w] for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
     def _learn(self, words: set[bytes]) -> None:
         """Put ``words`` into the cache. A full stop or comma after a run of plain letters is a token of its own."""
-        stems, ended = set(), []
+        plain, rest, ended = {}, {w: w.decode() for w in (b".", b",") if w not in self.cache}, []
+        old, letters = self.old.get, self._letters
         for w in words:
-            if (ids := self.old.get(w)) is not None:
+            if (ids := old(w)) is not None:
                 self.cache[w] = ids
-            elif w[-1:] in (b".", b",") and self._letters(w[:-1].decode("utf-8", "replace")):
+                continue
+            text = w.decode("utf-8", "replace")
+            if letters(text):
+                plain[w] = text
+            elif text[-1:] in (".", ",") and letters(text[:-1]):
                 ended.append(w)
                 if w[:-1] not in self.cache:
-                    stems.add(w[:-1])
+                    plain[w[:-1]] = text[:-1]
             else:
-                stems.add(w)
-        self._encode([w for w in {*stems, b".", b","} if w not in self.cache])
+                rest[w] = text
+        self._encode(plain, rest)
         for w in ended:
             self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
 
