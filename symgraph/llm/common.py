@@ -172,12 +172,13 @@ def text_slices(texts: pa.Array) -> "list[tuple[int, int, np.ndarray, np.ndarray
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of the texts, and how many words each text has before it (len + 1)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of the texts, and how many words each text has before it (len + 1). ``gap``
+    tells of each byte whether it stands between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = word.copy()
