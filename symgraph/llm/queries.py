@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, html, jaccard, licenses, media, mixing, packing, quality, substrings, warc, whitening
+from . import chat, collocations, html, jaccard, licenses, media, mixing, packing, quality, spots, substrings, warc, whitening
 
 
 def queries() -> dict:
-    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, media.op3_media_columns, html.op4_html_extraction, jaccard.op5_ngram_jaccard_join, substrings.op6_substring_dedup, mixing.op7_mixing, packing.op8_best_fit_packing, warc.op9_warc, quality.op10_quality_rules, collocations.op12_collocations, whitening.op13_whitening]
+    fs = [chat.op1_chat_formatting, licenses.op2_license_scans, media.op3_media_columns, html.op4_html_extraction, jaccard.op5_ngram_jaccard_join, substrings.op6_substring_dedup, mixing.op7_mixing, packing.op8_best_fit_packing, warc.op9_warc, quality.op10_quality_rules, spots.op11_document_fingerprints, collocations.op12_collocations, whitening.op13_whitening]
     return {f.__name__: f for f in fs}
 
 
