@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from .common import _LOWER, checked, materialize, release
 MAX_N, MIN_COUNT, TOP, COVER = 3, 10, 2000, 50
 #: Bytes of text whose suffixes are summed at once.
 FLUSH_BYTES = 12 << 20
+#: Suffixes of a batch on its way to Spark.
+ROWS = 50_000
 #: Documents of the sample that finds hot first words (about; all, if there are fewer); a word is hot with more than one in HOT suffixes.
 SAMPLE_DOCS, HOT = 5000, 1000
 #: Groups that a language is dealt to for its first choice of candidates.
@@ -63,51 +66,64 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     return words, row, (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
 
 
-def _paired(codes: np.ndarray, more: np.ndarray, n: int) -> np.ndarray:
-    """One number for each pair of ``codes`` and ``more`` (below ``n``), in their order."""
-    if len(codes) and int(codes.max()) >= (1 << 62) // n:
-        codes = np.unique(codes, return_inverse=True)[1]
-    return codes * n + more
+def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``columns`` (each from 0 to below its size), and how often each occurs."""
+    room = 1
+    for n in sizes:
+        room *= n
+    if room >= 1 << 63:  # too many combinations for one number: the first columns are numbered anew
+        codes = columns[0]
+        for x, n in zip(columns[1:], sizes[1:], strict=True):
+            codes = np.unique(codes * n + x, return_inverse=True)[1]
+        first, times = np.unique(codes, return_index=True, return_counts=True)[1:]
+        return [x[first] for x in columns], times
+    codes = columns[0].copy()
+    for x, n in zip(columns[1:], sizes[1:], strict=True):
+        codes *= n
+        codes += x
+    codes.sort()
+    at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    times, codes = np.diff(np.append(at, len(codes))), codes[at]
+    out = []
+    for n in sizes[:0:-1]:
+        codes, x = np.divmod(codes, n)
+        out.append(x)
+    return [codes, *out[::-1]], times
 
 
-def suffix_counts(langs: np.ndarray, data: np.ndarray, offsets: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Distinct suffixes of the texts, by language: language, words' places in the dictionary (-1: none), times, dictionary."""
+def suffix_counts(langs: np.ndarray, n_langs: int, data: np.ndarray, offsets: np.ndarray, max_n: int) -> tuple[list[np.ndarray], np.ndarray, pa.Array]:
+    """Distinct suffixes of the texts: their columns (language, first word, then a word and one, 0 for none), times, words."""
     words, row, joined = pieces(data, offsets)
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros((0, max_n), np.int64), np.zeros(0, np.int64), words.dictionary
+    n, size = len(words), len(words.dictionary)
     code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    at = np.full((max_n, n), -1, np.int64)
-    at[0], open_ = code, np.ones(n, bool)
+    columns, whole = [langs[row], code], np.ones(n, bool)
     for k in range(1, max_n):
-        open_[n - k :] = False
-        open_[: n - k] &= joined[k - 1 :]
-        at[k, : n - k] = np.where(open_[: n - k], code[k:], -1)
-    size = len(words.dictionary) + 1
-    codes = langs[row]
-    for x in at:
-        codes = _paired(codes, x + 1, size)
-    first, times = np.unique(codes, return_index=True, return_counts=True)[1:]
-    return langs[row[first]], at[:, first].T, times, words.dictionary
+        whole[n - k :] = False
+        whole[: n - k] &= joined[k - 1 :]
+        x = np.zeros(n, np.int64)
+        x[: n - k] = np.where(whole[: n - k], code[k:] + 1, 0)
+        columns.append(x)
+    columns, times = _distinct(columns, [n_langs, max(size, 1), *[size + 1] * (max_n - 1)])
+    return columns, times, words.dictionary
 
 
 def _escaped(lang: str | None) -> bytes:
     return ("und" if lang is None else lang).replace("\\", "\\\\").replace("\n", "\\n").encode("utf-8", "surrogatepass")
 
 
-def _keys(lang: np.ndarray, at: np.ndarray, dictionary: pa.Array, names: list[bytes]) -> list[str]:
-    """Suffixes as text: each word ends with a line feed, which no word holds, so a prefix of words is a prefix of the text
-    and its suffixes stay together in any order of texts; the language follows the first word, after a tab."""
-    words = dictionary.to_pylist()
-    heads: dict[tuple, bytes] = {}
-    tails = [b"", *[w + b"\n" for w in words]]
-    out = []
-    for x, (i, *rest) in zip(lang.tolist(), at.tolist(), strict=True):
-        head = heads.get((x, i))
-        if head is None:
-            head = heads[x, i] = words[i] + b"\t" + names[x] + b"\n"
-        out.append(head + b"".join([tails[k + 1] for k in rest]))
-    return out
+def _keys(columns: list[np.ndarray], words: pa.Array, names: list[bytes], dealt: dict[bytes, int]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Suffixes as text, and the parts they are dealt to: each word ends with a line feed, which no word holds, so a
+    prefix of words is a prefix of the text and its suffixes stay together in any order of texts; the language
+    follows the first word, after a tab."""
+    own = words.to_pylist()
+    tails = pa.array([b"", *[w + b"\n" for w in own]], pa.large_binary())
+    head, at = np.unique(columns[0] * len(own) + columns[1], return_inverse=True)
+    heads = [own[h % len(own)] + b"\t" + names[h // len(own)] for h in head.tolist()]
+    parts = np.array([dealt.get(h, 1) for h in heads], np.int32)
+    heads = pa.array([h + b"\n" for h in heads], pa.large_binary())
+    for lo in range(0, len(at), ROWS):
+        some = [heads.take(pa.array(at[lo : lo + ROWS])), *[tails.take(pa.array(x[lo : lo + ROWS])) for x in columns[2:]]]
+        yield pc.binary_join_element_wise(*some, pa.scalar(b"", pa.large_binary())), parts[at[lo : lo + ROWS]]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, hot: dict[str, int], size: int) -> Iterator[pa.RecordBatch]:
@@ -122,11 +138,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, hot: dict[str, int]
         data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         lang = pa.concat_arrays(langs).dictionary_encode("encode")
         names = [_escaped(x) for x in lang.dictionary.to_pylist()]
-        codes, at, times, dictionary = suffix_counts(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), data, offsets - offsets[0], max_n)
-        for i in range(0, len(times), 50_000):
-            keys = _keys(codes[i : i + 50_000], at[i : i + 50_000], dictionary, names)
-            parts = [dealt.get(k[: k.index(b"\n")], 1) for k in keys] if dealt else np.ones(len(keys), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string(), safe=False), pa.array(times[i : i + 50_000], pa.int64()), pa.array(parts, pa.int32())], names=["key", "n", "parts"])
+        codes = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        columns, times, words = suffix_counts(codes, len(names), data, offsets - offsets[0], max_n)
+        for i, (keys, parts) in enumerate(_keys(columns, words, names, dealt) if len(times) else []):
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()).cast(pa.string(), safe=False), pa.array(times[i * ROWS :][: len(keys)], pa.int64()), pa.array(parts)], names=["key", "n", "parts"])
 
     for b in batches:
         texts.append(b.column("text").cast(pa.large_string()))
