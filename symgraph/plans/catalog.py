@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build
+from ..operators.adjacency import Adjacency
 from ..operators.packages import package_graph, packages
 from ..operators.query import Graph, SymbolFilter
+from ..operators.refresh import apply_delta, graph_delta, kept_edges
+from ..operators.textindex import TrigramIndex
 from ..session import change_keys
+from ..sources.shared import Keeper
 from ..streaming.watch import latest
-from .projection import graph
+from .projection import REPO, earlier, graph, tables
 
 PLATE, SUPPLIER = "red plate", "Supplier#000000003"
 NODE_COLUMNS = ["id", "kind", "language", "symbol_kind", "name", "fq_name", "path", "start_line"]
@@ -111,6 +117,47 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(path.alias("path"), op.alias("op"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("long").alias("seq"))
 
 
+def refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of an earlier state of the projected tables, after the change to the present one."""
+    keep = Keeper(spark)
+    old, new, gone = earlier(*[keep.write(t) for t in tables(spark, sf_dir)])
+    nodes, edges = build.build_graph(REPO, *old)
+    return apply_delta(nodes, edges, graph_delta(REPO, old, new, gone, keep))
+
+
+_indexes: dict[tuple[str, str], tuple[Adjacency, TrigramIndex, Keeper]] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[Adjacency, TrigramIndex, Keeper]:
+    """The numbered, bucketed and indexed graph of a folder, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        g, keep = graph(spark, sf_dir)[0], Keeper(spark)
+        adjacency = Adjacency.store(f"symgraph_{uuid.uuid4().hex}", g.nodes, g.edges, keep)
+        atexit.register(adjacency.drop)
+        names = adjacency.table("nodes").where("kind = 'Symbol'").select("nid", "name")
+        _indexes[key] = adjacency, TrigramIndex(names, "name", keep), keep
+    return _indexes[key]
+
+
+def removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the removal of one file reaches: documents built anew or dropped, edges dropped, edges of all."""
+    g, t = graph(spark, sf_dir)
+    keep = Keeper(spark)
+    t = tuple(keep.write(x) for x in t)
+    gone = t[0].where(F.col("doc_key") == GONE).select("doc_key")
+    delta = graph_delta(REPO, t, tuple(x.limit(0) for x in t), gone, keep)
+    left = kept_edges(g.edges, delta).agg(F.count("*").alias("left"))
+    n = g.edges.agg(F.count("*").alias("edges"))
+    return delta.replaced.agg(F.count("*").alias("documents")).join(F.broadcast(n)).join(F.broadcast(left)).select("documents", "edges", (F.col("edges") - F.col("left")).alias("dropped"))  # single rows
+
+
+GONE = "/repo/parts/brand_11.rs"
+REMOVAL = f"""
+, gone_ AS (SELECT n FROM global_ WHERE starts_with(id, 'symbol::{GONE}::')),
+reached_ AS (SELECT '{GONE}' AS doc_key UNION SELECT r.doc_key FROM relations_ r JOIN gone_ ON n = target WHERE NOT EXISTS (FROM local_ l WHERE l.n = r.target AND l.doc_key = r.doc_key))
+SELECT (SELECT count(*) FROM reached_) AS documents, count(*) AS edges, count(*) FILTER (lower(file_path) IN (SELECT doc_key FROM reached_)) AS dropped FROM edges
+"""
 CHANGES = """WITH c AS (SELECT '/repo/' || CASE WHEN o_custkey % 7 = 0 THEN 'node_modules' ELSE 'Src' END || '/C' || o_custkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'upsert' END AS op, o_orderpriority AS source, o_orderkey AS seq FROM orders)
 """
 #: Queries of the tables themselves, without the graph.
@@ -119,7 +166,20 @@ PLAIN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "change_feed_latest": (lambda spark, d: latest(changes(spark, d)), CHANGES + "SELECT lower(path) AS key, arg_max(path, (seq, op)) AS path, arg_max(op, (seq, op)) AS op, arg_max(source, (seq, op)) AS source FROM c GROUP BY lower(path)"),
     "change_feed_keys": (lambda spark, d: change_keys(changes(spark, d).select("path")).groupBy("key").agg(F.count("*").alias("n")), CHANGES + "SELECT lower(path) AS key, count(*) AS n FROM c WHERE NOT contains(path, '/node_modules/') GROUP BY ALL"),
 }
-
+PLAIN |= {
+    "refreshed_nodes": (lambda spark, d: refreshed(spark, d)[0].select(*NODE_COLUMNS), f"{PRELUDE} SELECT {NODES} FROM nodes"),
+    "refreshed_edges": (lambda spark, d: refreshed(spark, d)[1].select(*EDGE_COLUMNS), f"{PRELUDE} SELECT {EDGES} FROM edges"),
+    "refresh_removal": (removal, PRELUDE + REMOVAL),
+    "lookup_target": (lambda spark, d: index(spark, d)[0].table("keys").where(F.col("key") == PLATE).select("key", "id"), f"{PRELUDE} SELECT '{PLATE}' AS key, id FROM nodes WHERE id = '{PLATE}' OR name = '{PLATE}' OR fq_name = '{PLATE}'"),
+    "lookup_keys": (lambda spark, d: index(spark, d)[0].table("keys").select("key", "id"), f"{PRELUDE} SELECT id AS key, id FROM nodes UNION SELECT name, id FROM nodes UNION SELECT fq_name, id FROM nodes WHERE fq_name IS NOT NULL"),
+    "node_numbers": (lambda spark, d: index(spark, d)[0].table("nodes").select("id", "nid"), f"{PRELUDE} SELECT id, row_number() OVER (ORDER BY id) - 1 AS nid FROM nodes"),
+    "edges_decoded": (lambda spark, d: (lambda a: a.edge_rows(a.table("in")).select(*EDGE_COLUMNS))(index(spark, d)[0]), f"{PRELUDE} SELECT {EDGES} FROM edges"),
+    "trigram_contains": (lambda spark, d: (lambda a, x, _: a.node_rows(x.containing("PLATE")).select(*NODE_COLUMNS))(*index(spark, d)), f"{PRELUDE} SELECT {NODES} FROM nodes WHERE kind = 'Symbol' AND contains(lower(name), 'plate')"),
+    "edge_ids_repeated": (
+        lambda spark, d: graph(spark, d)[0].edges.agg(F.count("*").alias("edges"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull() | F.col("kind").isNull()).alias("without")),
+        f"{PRELUDE} SELECT count(*) AS edges, count(DISTINCT id) AS ids, count(*) FILTER (id IS NULL OR kind IS NULL) AS without FROM edges",
+    ),
+}
 ALL_KINDS = "'DependsOn', 'Calls', 'References', 'Imports'"
 Entry = tuple[Callable[[Graph, tuple], DataFrame], str]
 
@@ -199,9 +259,26 @@ FROM s WHERE raw > 0 ORDER BY score DESC, name, id LIMIT 20""",
     return out
 
 
+def indexed() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
+    """Walks over the bucketed adjacency, with the SQL of those over the edges; frontiers of over 10 nodes are dealt."""
+    out = {}
+    for kind, target, direction, depth in (("deps", SUPPLIER, "outbound", 3), ("deps", SUPPLIER, "both", 2), ("impact", PLATE, "inbound", 3)):
+
+        def run(spark, d, part, kind=kind, target=target, direction=direction, depth=depth):
+            a, _, keep = index(spark, d)
+            found = a.impact(target, keep, depth, 10) if kind == "impact" else a.dependencies(target, keep, direction, depth, 10)
+            return found[part].select(*(EDGE_COLUMNS if part else NODE_COLUMNS))
+
+        name = f"{kind}_d{depth}" if kind == "impact" else f"{kind}_{direction}_d{depth}"
+        for part, what in enumerate(("nodes", "edges")):
+            out[f"dense_{name}_{what}"] = (lambda spark, d, run=run, part=part: run(spark, d, part)), f"{name}_{what}"
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(*graph(spark, sf_dir))) for k, (f, _) in entries().items()} | {k: f for k, (f, _) in PLAIN.items()}
+    return {k: f for k, (f, _) in indexed().items()} | {k: (lambda spark, sf_dir, f=f: f(*graph(spark, sf_dir))) for k, (f, _) in entries().items()} | {k: f for k, (f, _) in PLAIN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: PRELUDE + sql for k, (_, sql) in entries().items()} | {k: sql for k, (_, sql) in PLAIN.items()}
+    found = {k: PRELUDE + sql for k, (_, sql) in entries().items()}
+    return found | {k: found[like] for k, (_, like) in indexed().items()} | {k: sql for k, (_, sql) in PLAIN.items()}

@@ -56,6 +56,21 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return docs, symbols, rel
 
 
+def earlier(docs: DataFrame, symbols: DataFrame, relations: DataFrame) -> tuple[tuple, tuple, DataFrame]:
+    """An earlier state of the tables, and the change to the present one: documents that come or replace others (with
+    their symbols and relations), and keys of those that go.
+
+    Of the parts, files of brands that end in 1 are not there yet, those in 2 (and a supplier's file) have half their
+    symbols and relations, and copies of those in 3 are in a folder that comes first of all."""
+    comes, changes, copied = F.col("doc_key").endswith("1.rs"), F.col("doc_key").endswith("2.rs") | F.col("doc_key").endswith("_3.py"), F.col("doc_key").endswith("3.rs")
+    half = ~comes & ~(changes & (F.col("ordinal") % 2 == 0))
+    away = lambda df, c: df.where(copied).withColumn(c, F.replace(F.col(c), F.lit("/repo/parts/"), F.lit("/repo/Old/" if c == "path" else "/repo/old/")))
+    old_docs = docs.where(~comes).unionByName(away(away(docs, "path"), "doc_key"))
+    old = old_docs, *[t.where(half).unionByName(away(t, "doc_key")) for t in (symbols, relations)]
+    gone = old_docs.where(F.col("doc_key").startswith("/repo/old/")).select("doc_key")
+    return old, tuple(t.where(comes | changes) for t in (docs, symbols, relations)), gone
+
+
 _graphs: dict[tuple[str, str], tuple[Graph, tuple]] = {}
 
 

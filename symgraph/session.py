@@ -13,8 +13,13 @@ from .operators.build import build_graph
 from .operators.extract import extract_documents, tables
 from .operators.packages import package_graph
 from .operators.query import Graph
+from .operators.refresh import graph_delta, written
 from .sources import repository
-from .sources.store import Store
+from .sources.shared import Keeper
+from .sources.store import Store, parts_of
+
+#: Changes that a version is read with; the next one writes it as a whole first.
+MAX_PARTS = 16
 
 
 def memory_budget(value: str | None) -> int | None:
@@ -60,7 +65,8 @@ class RepositorySession:
         return self.apply_changes(self.spark.createDataFrame(changes, "key string, state string"), repository.files(self.spark, self.repo_path, present))
 
     def apply_changes(self, changes: DataFrame, files: DataFrame) -> dict:
-        """``changes`` (key, state): keys whose documents ``files`` replace, or that are missing, folders included."""
+        """``changes`` (key, state): keys whose documents ``files`` replace, or that are missing, folders included. Only
+        edges and nodes that the change reaches are built and written."""
         if self.store.meta() is None:
             return self.build_full()
         meta = self.store.meta()
@@ -73,14 +79,25 @@ class RepositorySession:
         kept = new.select("doc_key", "content_hash", "language").join(old.select("doc_key", "content_hash", "language"), ["doc_key", "content_hash", "language"])
         gone = named.join(kept.select("doc_key"), "doc_key", "left_anti")
         changed = new.join(kept.select("doc_key"), "doc_key", "left_anti")
-        if gone.isEmpty() and changed.isEmpty():
-            new.unpersist()
-            return self.stats()
-        drop = gone.unionByName(changed.select("doc_key")).distinct()
+        keep = Keeper(self.spark)
         try:
-            return self._write(old.join(drop, "doc_key", "left_anti").unionByName(changed), meta["revision"] + 1)
+            if gone.isEmpty() and changed.isEmpty():
+                return self.stats()
+            if len(parts_of(meta)) > MAX_PARTS:
+                meta = self.compact()
+                old = self.store.read("documents", meta)
+            delta = graph_delta(self.repo_path, tables(old), tables(changed), gone, keep)
+            freed = self.store.replace(written(delta, changed), self.repo_path, meta["revision"] + 1, onto=meta)
         finally:
+            keep.release()
             new.unpersist()
+        return self.stats() | {"bytes_reclaimed": freed}
+
+    def compact(self) -> dict:
+        """Write the current version as a whole, without its changes apart; the revision stays. Nothing is built anew."""
+        meta = self.store.meta()
+        self.store.replace({t: self.store.read(t, meta) for t in ("documents", "nodes", "edges")}, self.repo_path, meta["revision"])
+        return self.store.meta()
 
     def graph(self) -> Graph:
         """The graph of the current version; later writes leave it as it is."""

@@ -17,6 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.refresh import overlay
+
 TABLES = ("documents", "nodes", "edges")
 #: Folders that no reader can be given any more go after this time.
 KEEP_SECONDS = 3600
@@ -30,6 +32,11 @@ class Conflict(StoreError):
     """Another writer has written this version."""
 
 
+def parts_of(meta: dict) -> list[str]:
+    """Folders that a version is read from: a whole one, then changes."""
+    return meta.get("parts") or [meta["folder"]]
+
+
 def store_path(path: str) -> str:
     """A path that names an index is kept; else ``index`` is put below it, without its extension."""
     folder, slash, last = path.rstrip("/").rpartition("/")
@@ -65,20 +72,27 @@ class Store:
         meta = meta or self.meta()
         if meta is None:
             raise StoreError(f"nothing is stored at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{meta['folder']}/{table}")
+        first, *changes = parts_of(meta)
+        df = self.spark.read.parquet(f"{self.path}/{first}/{table}")
+        for folder in changes:
+            df = overlay(table, df, lambda name, folder=folder: self.spark.read.parquet(f"{self.path}/{folder}/{name}"))
+        return df
 
     def size(self) -> int:
         return self.fs.getContentSummary(self._path()).getLength()
 
-    def replace(self, tables: dict[str, DataFrame], repo_path: str, revision: int, keep_seconds: float = KEEP_SECONDS) -> int:
-        """Write a version and point to it; returns the bytes that old versions have freed."""
+    def replace(self, tables: dict[str, DataFrame], repo_path: str, revision: int, keep_seconds: float = KEEP_SECONDS, onto: dict | None = None) -> int:
+        """Write a version and point to it; returns the bytes that old versions have freed. With ``onto`` (the meta of
+        the current version) the tables are a change of that one."""
         meta = self.meta()
+        if onto is not None and (meta is None or meta["version"] != onto["version"]):
+            raise Conflict(f"version {onto['version']} of {self.path} is not the current one any more")
         version = (meta["version"] if meta else 0) + 1
         folder = f"v{version}-{uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
             w = df.write.mode("overwrite")
             (w.partitionBy("kind") if name == "edges" else w).parquet(f"{self.path}/{folder}/{name}")
-        text = json.dumps({"version": version, "folder": folder, "revision": revision, "repo_path": repo_path})
+        text = json.dumps({"version": version, "folder": folder, "revision": revision, "repo_path": repo_path, "parts": [*(parts_of(onto) if onto else []), folder]})
         if self.fs.exists(self._path(f"CURRENT-{version}")):
             raise Conflict(f"version {version} of {self.path} is there already")
         # The pointer appears whole: it is written aside and renamed, which fails where one is there.
@@ -97,11 +111,12 @@ class Store:
         """Delete what is neither the current version nor the one before, and older than ``keep_seconds``."""
         meta = self.meta()
         current = meta["version"] if meta else 0
+        used = set(parts_of(meta)) if meta else set()
         limit = time.time() * 1000 - 1000 * keep_seconds
         for status in self.fs.listStatus(self._path()):
             name = status.getPath().getName()
             m = re.fullmatch(r"(?:_next-)?v(\d+)-\w+|CURRENT-(\d+)", name)
-            if m is None or meta and name == meta["folder"]:
+            if m is None or name in used:
                 continue
             n = int(m[1] or m[2])
             if not (m[2] and n == current) and n != current - 1 and status.getModificationTime() < limit:
