@@ -159,7 +159,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = int(guests.argmax()) + 1 if guests.any() else len(ids)  # the first guest is the next of the last row
         ended = stop < len(ids) or bool(guests[: stop].any())
         column = b.column("text").slice(0, stop)
-        rows = list(zip(ids[:stop], column.to_pylist(), [(x, short_set(x)) for x in spot_sets(column)], strict=True))
+        rows = list(zip(ids[:stop], column.to_pylist(), [short_set(x) for x in spot_sets(column)], strict=True))
         rows = ([held] if held else []) + rows
         held = rows[-1]
         edited = [_edited(r[1], s[1]) for r, s in zip(rows, rows[1:], strict=False)]
@@ -172,13 +172,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r[0] for r in rows[:-1]], pa.int64()),
                 pa.array([len(r[1]) for r in rows[:-1]], pa.int64()),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]),
-                pa.array([fingerprint(s) for _, s in sets[:-1]]),
+                pa.array([fingerprint(s) for s in sets[:-1]]),
                 pa.array([fingerprint(x) for x in other]),
-                pa.array([likeness(s, x) for (_, s), x in zip(sets, other, strict=False)]),
-                pa.array([likeness(s[1], t[1]) for s, t in zip(sets, sets[1:], strict=False)]),
-                pa.array([node_of(s) for s, _ in sets[:-1]], pa.int64()),
+                pa.array([likeness(s, x) for s, x in zip(sets, other, strict=False)]),
+                pa.array([likeness(s, t) for s, t in zip(sets, sets[1:], strict=False)]),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "node"],
+            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
 
@@ -270,8 +269,8 @@ class SpotJoin(Join):
 
     def frequent(self) -> np.ndarray:
         """Elements that are more than one in ``FREQUENT`` occurrences: fewer than that number."""
-        counts = materialize(self.docs.mapInArrow(_elements, "element long, times long").groupBy("element").agg(F.sum("times").alias("times")), "spot-elements")
-        total = counts.agg(F.sum("times")).first()[0] or 0
+        total = self.rows.agg(F.sum("n")).first()[0] or 0
+        counts = self.docs.mapInArrow(_elements, "element long, times long").groupBy("element").agg(F.sum("times").alias("times"))
         return np.sort(np.array([r[0] for r in counts.where(F.col("times") * FREQUENT > max(total, FREQUENT)).select("element").collect()], np.int64).view(np.uint64))
 
     def buckets(self) -> DataFrame:
@@ -309,13 +308,9 @@ def spot_classes(docs: DataFrame) -> DataFrame:
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row, and
-    ``class_id`` of its near duplicates."""
-    docs = _plain(docs)
-    classes = SpotJoin(docs).classes()
-    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, node long"
-    out = beside_next(docs).mapInArrow(_compared, kind).join(checked(classes), "node", "left")
-    return out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))).drop("node")
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row."""
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return beside_next(_plain(docs)).mapInArrow(_compared, kind)
 
 
 def op11_document_fingerprints(spark, sf_dir: str) -> DataFrame:

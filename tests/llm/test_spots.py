@@ -64,8 +64,7 @@ def test_neighbours(spark, rows, parts, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         docs = spots._plain(frame(spark, rows))
-        kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, node long"
-        got = spots.beside_next(docs).mapInArrow(spots._compared, kind).collect()
+        got = spots.compare_neighbours(frame(spark, rows)).collect()
         keys = {(r["doc_id"], r["text"]): r["h"] for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
@@ -110,6 +109,6 @@ def test_classes(spark, rows):
 
 def test_query_columns_and_small_tables(spark):
     got = spots.compare_neighbours(frame(spark, [(1, "the only one")])).collect()
-    assert len(got) == 1 and got[0]["near_next"] == 1.0 and got[0]["class_id"] == 1
+    assert len(got) == 1 and got[0]["near_next"] == 1.0
     empty = spots.compare_neighbours(frame(spark, []))
-    assert empty.collect() == [] and empty.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"]
+    assert empty.collect() == [] and empty.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
