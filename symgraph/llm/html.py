@@ -13,7 +13,10 @@ Within the container, menus, headers, footers, sidebars, notices, adverts, forms
 reader comments are left out: by tag, and block containers (not headings, paragraphs or inline elements)
 by ``role`` and by class and id names that are made of such words alone (``cookie-notice``, ``ad-slot``, but
 not ``related-work``). Names that an article's own parts may have (``form``, ``search``, ``related``) count
-only outside article and main, or where most of the text is links.
+only outside article and main, or where most of the text is links. ``hidden`` is an attribute of that name, or a
+style of ``display: none`` or ``visibility: hidden``; values of other attributes never count. A form that holds most
+of the page's text, headings or paragraphs among it, wraps the page and stays. A menu or sidebar that is still open where
+the main part (or a menu where an article) begins was never closed, and ends there.
 
 Defined cases: null and empty pages, and pages of nothing but such parts, give the empty text; pages without container are taken whole;
 unclosed elements end with their parent; null urls are one host; repeated rows are extracted each;
@@ -34,9 +37,13 @@ from .common import checked, materialize
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("nav header footer aside form script style noscript template svg math iframe object canvas textarea select button head dialog menu audio video".split())
+SKIP = frozenset("nav header footer aside script style noscript template svg math iframe object canvas textarea select button head dialog menu audio video".split())
 HOLDERS = frozenset("html body main article section div ul ol dl table tbody tr td th figure blockquote details fieldset span center".split()) - {"span"}
 WHOLE = frozenset("html body main article".split())
+#: Elements left out that an article cannot be in: where it begins, they have been left open.
+OUTSIDE = {"main": frozenset("nav header footer aside".split()), "article": frozenset(["nav"])}
+#: Elements of a page's own text; a form that holds some and most of the page's text is a wrapper.
+TEXTUAL = frozenset("article main nav header footer h1 h2 p".split())
 #: Block elements that are judged by their names.
 NAMED = frozenset("div section ul ol dl table details figure fieldset center".split())
 #: Words of class, id and role that mark what is not the article; others that do so outside it; and words that may stand beside them.
@@ -46,13 +53,15 @@ BOILERPLATE = frozenset(
     "complementary contentinfo newsletter popup comment comments commentlist replies disqus".split()
 )
 DOUBTFUL = frozenset("header form search related recommended share sharing social notice notices alert skip copyright login signup subscribe subscription promo promotion sponsor banner modal overlay widget widgets reply respond".split())
-BESIDE = frozenset("site page main global top bottom left right side post entry user reader box block area bar list links link container wrapper wrap inner outer slot unit section panel column col group item items the js".split())
+BESIDE = frozenset("site page main global top bottom left right side post entry user reader box block area bar list links link container wrapper wrap inner outer slot unit section panel column col group item items the js thread".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after another: a name, and a value if there is one; values are never looked for names.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -67,6 +76,14 @@ def _marks(names: str) -> tuple[bool, bool]:
     return sure, doubt
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Attributes of a tag by lower-cased name, character references decoded; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(attrs):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
+
+
 _DIGITS = re.compile(r"\d+")
 #: A winning path is used on pages where it holds at least this share of the own container's clean text.
 LEAST_SHARE = 0.95
@@ -76,9 +93,11 @@ BONUS = {"article": 3.0, "main": 2.0}
 class Page:
     """Blocks of text outside boilerplate, and containers: [path, score, first block, end block, parent, clean text]."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, named: bool = True):
+        """With ``named`` block elements are judged by their class, id and role."""
         self.blocks: list[str] = []
-        doubts: list[list] = []  # of doubtful elements: characters of text, of links, first block, end block
+        doubts: list[list] = []  # of doubtful elements: characters of text, of links, first block, end block, whether it is a form, textual elements in it
+        self.named_out = False  # whether anything was left out for its name
         self.containers: list[list] = []
         stack: list[tuple[str, int, bool, int]] = []  # tag, container (-1: none), skipped, doubt (-1: none)
         run: list[str] = []
@@ -139,35 +158,46 @@ class Page:
                 continue
             attrs = m["attrs"]
             classes, sure, doubt, hidden = "", False, False, False
+            if skipped and tag in OUTSIDE:
+                n = next((i for i, x in enumerate(stack) if x[2]), 0)
+                if stack[n][0] in OUTSIDE[tag]:
+                    close(n)
             if attrs and tag not in WHOLE:
-                found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-                hidden = "hidden" in found
+                found = attributes(attrs)
+                hidden = "hidden" in found or "style" in found and _UNSEEN.search(found["style"]) is not None
                 classes = found.get("class", "").lower()
-                if tag in NAMED:
+                if named and tag in NAMED:
                     sure, doubt = _marks(" ".join((classes, found.get("id", "").lower(), found.get("role", "").lower())))
             off = tag in SKIP or hidden or sure or doubt and not any(x in BONUS for x, _, _, _ in stack)
+            self.named_out |= off and tag not in SKIP and not hidden
+            doubt |= tag == "form"
+            if tag in TEXTUAL:
+                for _, _, _, k in stack:
+                    if k >= 0:
+                        doubts[k][5] += 1
             if off and tag not in VOID and not attrs.endswith("/"):
                 flush()
                 stack.append((tag, -1, True, -1))
                 skipped += 1
             elif tag not in INLINE:
                 flush()
-                if tag in HOLDERS:
+                if tag in HOLDERS or tag == "form":
                     c = -1
-                    if not skipped:
+                    if not skipped and tag in HOLDERS:
                         parent = next((x for _, x, _, _ in reversed(stack) if x >= 0), -1)
                         above = self.containers[parent][0] if parent >= 0 else ""
                         name = tag + "".join(sorted("." + _DIGITS.sub("0", x) for x in classes.split()))
                         c = len(self.containers)
                         self.containers.append([f"{above}>{name}", 0.0, len(self.blocks), 0, parent, 0])
                     if doubt and not skipped:
-                        doubts.append([0, 0, len(self.blocks), 0])
+                        doubts.append([0, 0, len(self.blocks), 0, tag == "form", 0])
                     stack.append((tag, c, False, len(doubts) - 1 if doubt and not skipped else -1))
         if not skipped and at < len(html):
             run.append(html[at:])
         close(0)
-        for text, links, first, end in doubts:
-            if 2 * links > text:
+        whole = sum(map(len, self.blocks))
+        for text, links, first, end, form, textual in doubts:
+            if not (textual and 2 * text > whole) if form else 2 * links > text:
                 self.blocks[first:end] = [""] * (end - first)
         for c in self.containers:
             c[1] *= BONUS.get(self.tag(c), 1.0)
@@ -203,7 +233,12 @@ class Page:
 
 
 def extract_text(html: str, path: str | None = None) -> str:
-    return Page(html).text(path)
+    page = Page(html)
+    text = page.text(path)
+    if not text and page.named_out and any(page.tag(c) == "article" for c in page.containers):
+        # An article of nothing but parts left out for their names: the names say nothing there.
+        return Page(html, named=False).text(path)
+    return text
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
