@@ -21,6 +21,7 @@ any order; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
@@ -52,6 +53,18 @@ def _vocabulary() -> str:
 _BLANK = bytes(32 if c in (9, 10, 13) else c for c in range(256))
 
 
+#: Bytes that U+0300 to U+037F begin with: marks that make one letter with the letter before, often with small ones only.
+_MARKS = re.compile(rb"[\xcc\xcd]")
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Words of a text, A-Z lower-cased, as the tokenizer does later. It composes letters and marks before that, so words
+    with marks are left as they are."""
+    if _MARKS.search(text) is None:
+        return text.lower().split(b" ")
+    return [w if _MARKS.search(w) else w.lower() for w in text.split(b" ")]
+
+
 class WordEncoder:
     """Ids of texts, word by word: white space always parts tokens of this vocabulary, and A-Z are
     lower-cased by it, so that the ids of a text are those of its words in turn, and words recur. Ids are
@@ -129,7 +142,7 @@ class WordEncoder:
             self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").translate(_BLANK).lower().split(b" ") for t in texts]
+        split = [_split(t.encode("utf-8", "replace").translate(_BLANK)) for t in texts]
         words = set().union(*split)
         new = words.difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:

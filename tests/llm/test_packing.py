@@ -106,3 +106,25 @@ def test_dominated_bins_are_in_an_optimal_packing(seed):
         fixed = packing.reduce_dominated(left, capacity)
         rest = tuple(x for x, n in left.n.items() for _ in range(n))
         assert sum(n for _, n in fixed) + exact(rest, capacity) == exact(tuple(items), capacity)
+
+
+def test_marks_after_capitals():
+    """A tokenizer composes letters and marks before it lower-cases: all of A-Z with marks, alone and in words."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    odd = {c for c in range(0x80, 0x11000) if any(len(unicodedata.normalize("NFC", a + chr(c))) != len(unicodedata.normalize("NFC", a.lower() + chr(c))) for a in "AHTWYJKS")}
+    assert odd and all(0x300 <= c < 0x380 for c in odd)
+    tok = Tokenizer.from_file(packing._vocabulary())
+    tok.encode_special_tokens = True
+    encoder = packing.WordEncoder(packing._vocabulary())
+    marks = [chr(c) for c in range(0x300, 0x380)]
+    texts = [a + m for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks]
+    rnd = random.Random(3)
+    pieces = [*texts, "The", "and", "H", "w", ",", ".", "\u00c9", "\u4e2d", "\u0627\u0651", "\U0001f600", "\xa0", "\n", " ", " ", " "]
+    texts += ["".join(rnd.choices(pieces, [1] * (len(pieces) - 15) + [300] * 15, k=rnd.randint(1, 12))) for _ in range(20_000)]
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        for t, got, want in zip(part, encoder(part), tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert got == np.array(want.ids, "<u4").tobytes(), repr(t)
