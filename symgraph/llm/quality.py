@@ -1,11 +1,14 @@
 """Quality rules with host-level verdicts (native).
 
 Each document is measured on its own. Rule failures are then summed per host (the ``source``), rates
-are shrunk with a beta prior fitted to all hosts by moments, and the verdicts are joined back: on a
-host whose shrunk rate of failing documents is above ``bad_rate``, documents that fail any of the
-soft rules go as well. Clean documents stay on any host.
+are shrunk with a beta prior fitted to all hosts by moments, and the verdicts are joined back: a host's
+verdict is how many points of soft failure it takes to lose a document there, ``LIMIT`` at the odds of the
+corpus, fewer on hosts whose odds of failure are greater and more where they are less. A document has a
+point for each soft rule that it fails, and ``JUNK_POINTS`` more with more than one symbol a word. So plain
+junk goes on ordinary hosts, a text with a table in it on bad hosts only, and clean documents on none.
 
-Sums per host are pre-aggregated before the shuffle; only the hosts' totals are shuffled.
+Sums per host are pre-aggregated before the shuffle; only the hosts' totals are shuffled, and only hosts
+whose verdict is not the usual one are joined back.
 
 Defined cases: null text has no words and fails; null source is a host; repeated rows count each;
 texts with fewer than 8 words have no repeated window; an empty table gives no rows; other columns
@@ -25,8 +28,10 @@ MIN_WORDS = 20
 MAX_REPEAT = 30
 #: Soft rules: percent of symbols per word, percent of duplicate lines, mean word length.
 MAX_SYMBOLS, MAX_DUP_LINES, MIN_MEAN, MAX_MEAN = 10, 30, 2, 12
-#: Shrunk share of failing documents (in millionths) above which a host is bad, and bounds of the prior's weight.
-BAD_RATE, PRIOR_MIN, PRIOR_MAX = 500_000, 2, 10_000
+#: Points that it takes at the odds of the corpus, points of plain junk, and bounds of the prior's weight.
+LIMIT, JUNK_POINTS, PRIOR_MIN, PRIOR_MAX = 2.7, 2, 2, 10_000
+#: Points that it takes on most hosts: whole ones at the odds of the corpus.
+USUAL = 3
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -70,17 +75,20 @@ def _measured(docs: DataFrame) -> DataFrame:
     })
     n = F.col("__n_words")
     base = (n < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT * n)
-    soft = (100 * F.col("__n_symbols") > MAX_SYMBOLS * n) | (100 * F.col("__n_dup_lines") > MAX_DUP_LINES * F.col("__lines"))
-    soft = soft | (F.col("__word_chars") < MIN_MEAN * n) | (F.col("__word_chars") > MAX_MEAN * n)
+    rules = [100 * F.col("__n_symbols") > MAX_SYMBOLS * n, 100 * F.col("__n_dup_lines") > MAX_DUP_LINES * F.col("__lines")]
+    rules.append((F.col("__word_chars") < MIN_MEAN * n) | (F.col("__word_chars") > MAX_MEAN * n))
+    points = sum((r.cast("int") for r in rules), JUNK_POINTS * (F.col("__n_symbols") > n).cast("int"))
     host = F.coalesce(F.concat(F.lit("h"), F.col("source").cast("string")), F.lit(""))
-    return d.withColumns({"__base": base, "__soft": soft, "__host": host}).drop("__n_words_repeat", "__n_lines")
+    return d.withColumns({"__base": base, "__points": points, "__host": host}).drop("__n_words_repeat", "__n_lines")
 
 
-def bad_hosts(counts: DataFrame, bad_rate: int = BAD_RATE) -> DataFrame:
-    """Hosts (``__host``) whose shrunk failure rate is above ``bad_rate``, from ``__host, n, f``.
+def host_verdicts(counts: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """``__host, __need``: the points that a document is lost with, of hosts where those aren't ``USUAL``, from
+    ``__host, n, f``.
 
     Rates are millionths and sums are whole numbers, so the verdicts don't depend on the order of sums.
-    Prior: mean m and weight k = m(1-m)/v - 1 of the hosts' rates; shrunk rate (f + k m) / (n + k).
+    Prior: mean m and weight k = m(1-m)/v - 1 of the hosts' rates; shrunk rate s = (f + k m) / (n + k). It takes
+    ``limit`` points at odds of the mean, m / (1-m), and in inverse proportion at other odds, s / (1-s).
     """
     r = counts.withColumn("r", F.expr("(1000000 * f) div n"))
     fit = r.agg(F.count("*").alias("hosts"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
@@ -88,13 +96,14 @@ def bad_hosts(counts: DataFrame, bad_rate: int = BAD_RATE) -> DataFrame:
     v = F.greatest(F.col("ss") / F.col("hosts") - m * m, F.lit(1.0))
     k = F.least(F.lit(float(PRIOR_MAX)), F.greatest(F.lit(float(PRIOR_MIN)), m * (F.lit(1e6) - m) / v - F.lit(1.0)))
     mean, weight = fit.select(m, k).first()  # two numbers, whatever the number of hosts
-    if mean is None:
-        mean, weight = 0.0, float(PRIOR_MIN)
+    if not mean or mean >= 1e6:
+        return counts.select("__host", F.lit(float(USUAL)).alias("__need")).limit(0)
     shrunk = (F.lit(1e6) * F.col("f") + F.lit(weight) * F.lit(mean)) / (F.col("n") + F.lit(weight))
-    return counts.where(shrunk > bad_rate).select("__host")
+    need = F.ceil(F.lit(limit) * F.lit(mean) * (F.lit(1e6) - F.col("shrunk")) / (F.lit(1e6 - mean) * F.col("shrunk")))
+    return counts.select("__host", shrunk.alias("shrunk")).select("__host", need.cast("double").alias("__need")).where(F.col("__need") != USUAL)
 
 
-def quality_rules(docs: DataFrame, bad_rate: int = BAD_RATE, keep_columns: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, limit: float = LIMIT, keep_columns: bool = False) -> DataFrame:
     """``doc_id`` and the measures, ``base_failed`` and ``kept``; with ``keep_columns`` instead the
     rows of ``docs`` that are kept, with their own columns, whatever their names. Texts are measured once,
     and the narrow table of verdicts meets them by a 64-bit hash of text and source."""
@@ -102,12 +111,12 @@ def quality_rules(docs: DataFrame, bad_rate: int = BAD_RATE, keep_columns: bool
     measured = _measured(own)
     if keep_columns:  # one row for each text and source, by a hash of them; the measures follow from those
         row = F.xxhash64(F.col("text").isNull(), F.col("text").cast("string"), F.col("source").isNull(), F.col("source").cast("string"))
-        measured = measured.select("__host", "__base", "__soft", row.alias("__row"))
+        measured = measured.select("__host", "__base", "__points", row.alias("__row"))
     measured = materialize(measured.drop("text"), "quality")
-    fails = F.sum((F.col("__base") | F.col("__soft")).cast("long"))
-    bad = materialize(bad_hosts(materialize(measured.groupBy("__host").agg(F.count("*").alias("n"), fails.alias("f")), "hosts"), bad_rate), "bad-hosts")
-    out = measured.join(checked(bad.withColumn("__bad", F.lit(True))), "__host", "left")
-    kept = ~F.col("__base") & ~(F.coalesce("__bad", F.lit(False)) & F.col("__soft"))
+    fails = F.sum((F.col("__base") | (F.col("__points") > 0)).cast("long"))
+    hosts = materialize(measured.groupBy("__host").agg(F.count("*").alias("n"), fails.alias("f")), "hosts")
+    out = measured.join(checked(materialize(host_verdicts(hosts, limit), "host-verdicts")), "__host", "left")
+    kept = ~F.col("__base") & (F.col("__points") < F.greatest(F.coalesce("__need", F.lit(float(USUAL))), F.lit(1.0)))
     if keep_columns:
         gone = materialize(out.where(~kept).select("__row").distinct(), "rejected")
         names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -137,12 +146,13 @@ m AS (
 f AS (
   SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 g AS (
-  SELECT *, 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * len(lines) OR word_chars < 2 * n_words OR word_chars > 12 * n_words AS soft FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft) AS f FROM g GROUP BY source),
+  SELECT *, (100 * n_symbols > 10 * n_words)::INT + (100 * n_dup_lines > 30 * len(lines))::INT + (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT + 2 * (n_symbols > n_words)::INT AS points FROM f),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR points > 0) AS f FROM g GROUP BY source),
 q AS (SELECT count(*) AS hosts, sum((1000000 * f) // n)::DOUBLE AS s, sum(((1000000 * f) // n) ** 2)::DOUBLE AS ss FROM h),
 k AS (
   SELECT s / hosts AS m, least(10000.0, greatest(2.0, (s / hosts) * (1e6 - s / hosts) / greatest(ss / hosts - (s / hosts) ** 2, 1.0) - 1.0)) AS k FROM q),
-b AS (SELECT source, (1e6 * f + k * m) / (n + k) > 500000 AS bad FROM h, k)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft) AS kept
+b AS (SELECT source, m, (1e6 * f + k * m) / (n + k) AS s FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND points < CASE WHEN m > 0 AND m < 1e6 THEN greatest(1, ceil(2.7 * m * (1e6 - s) / ((1e6 - m) * s))) ELSE 3 END AS kept
 FROM g JOIN b ON g.source IS NOT DISTINCT FROM b.source
 """

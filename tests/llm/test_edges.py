@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -52,6 +53,31 @@ def test_bad_and_good_hosts(spark):
     assert got[50] == (False, False) and got[150] == (False, True) and got[35] == (False, True) and got[0] == (True, False)
 
 
+def test_verdicts_of_hosts(spark):
+    """Plain junk goes on ordinary hosts and stays on the best ones, tables go on the worst ones only; a tiny host is
+    like the corpus, whatever its rate."""
+    rnd = random.Random(2)
+    text = lambda: " ".join(f"w{rnd.randint(0, 999)}" for _ in range(40))
+    junk, table = " ".join(f"w{i} ###" for i in range(40)), " ".join(f"w{i} | x" for i in range(40))
+    rows, tests = [], []
+    for host, fails in [("best", 1), *[(f"usual{i}", 20) for i in range(60)], ("worst", 55), (None, 20)]:
+        rows += [(0, "short" if i < fails else text(), host) for i in range(100)]
+        tests += [(host, junk), (host, table), (host, text())]
+    tests += [("tiny", x) for x in (junk, table, text())]
+    rows += [(1 + i, t, h) for i, (h, t) in enumerate(tests)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).where("doc_id > 0").collect()}
+    kept = {}
+    for i, (h, _) in enumerate(tests):
+        kept.setdefault(h, []).append(got[1 + i])
+    assert kept.pop("best") == [True, True, True] and kept.pop("worst") == [False, False, True]
+    assert all(v == [False, True, True] for v in kept.values()), kept
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(f"SELECT doc_id, kept FROM ({quality.OP10_SQL}) WHERE doc_id > 0").fetchall()
+    assert dict(want) == got
+
+
 def test_hot_anchors(spark):
     rnd = random.Random(4)
     words = [f"a{i}" for i in range(900)]
