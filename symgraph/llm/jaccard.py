@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked, materialize, mix, text_slices, window_hashes, word_hashes
@@ -181,12 +181,12 @@ class Join:
         self.nodes = materialize(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def buckets(self) -> DataFrame:
-        """``key, node, head`` of keys with several nodes; head is the least of them."""
+        """``key, node, head`` of keys with several nodes; head is the least of them. A key's nodes are counted before
+        the shuffle, and then met by a join, which Spark splits where a key has very many: no task has all of them."""
         keys = self.docs.where("doc_id IS NOT NULL").mapInArrow(_keys, "key long, node long")
-        w = Window.partitionBy("key").orderBy("node")
-        head = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        rows = keys.withColumns({"head": head, "next": F.lead("node").over(w), "prior": F.lag("node").over(w)})
-        return materialize(rows.where("(head <> node AND prior <> node) OR (head = node AND next <> node)").select("key", "node", "head"), "buckets")
+        ends = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+        rows = keys.join(checked(materialize(ends, "heads")), "key").select("key", "node", "head")
+        return materialize(rows.dropDuplicates(["node", "key"]), "buckets")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that sizes and bit sketches let be linked."""
