@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
-import itertools
+import contextlib
 import json
+import os
+import queue
 
 from pyspark.sql import SparkSession
 
 from .operators.query import SymbolFilter
 from .serve import serve
 from .session import RepositorySession
-from .streaming.watch import poll
+from .sources.exchange import export_graph
+from .streaming.watch import watch_folder
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -19,8 +22,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--repo", default=".")
     p.add_argument("--store", default=".symgraph/index")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("index", "doctor", "export"):
+    for name in ("index", "doctor"):
         sub.add_parser(name)
+    sub.add_parser("export").add_argument("--to", help="a folder: executors write the graph there, in parts; else it is printed")
     w = sub.add_parser("watch")
     w.add_argument("--seconds", type=float, default=0.5)
     w.add_argument("--changes", type=int, help="end after so many refreshes")
@@ -78,11 +82,23 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("index", "doctor"):
         print(json.dumps(session.build_full() if a.command == "index" else session.health()))
         return
+    if a.command == "export" and a.to:
+        g = session.graph()
+        print(json.dumps({k: v["rows"] for k, v in export_graph({"nodes": g.nodes, "edges": g.edges}, a.to).items()}))
+        return
     if a.command == "watch":
         if session.store.meta() is None:
             print(json.dumps(session.build_full()), flush=True)
-        for stats in itertools.islice(poll(session, a.seconds), a.changes):
-            print(json.dumps(stats), flush=True)
+        seen = queue.Queue()
+        query = watch_folder(session, os.path.join(session.repo_path, ".symgraph", "watch"), {"processingTime": f"{a.seconds} seconds"}, seen.put)
+        revision, left = session.stats()["revision"], a.changes
+        while query.isActive and left != 0:
+            with contextlib.suppress(queue.Empty):
+                stats = seen.get(timeout=1)
+                if stats["revision"] != revision:
+                    revision, left = stats["revision"], None if left is None else left - 1
+                    print(json.dumps(stats), flush=True)
+        query.stop()
         return
     if a.command == "serve":
         serve(session, a.host, a.port).serve_forever()

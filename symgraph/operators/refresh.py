@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.ids import norm_path
 from ..sources.shared import Keeper
@@ -107,20 +108,20 @@ def graph_delta(repo_path: str, old: Tables, new: Tables, gone: DataFrame, keep:
     return Delta(replaced, edges, touched, lost, nodes)
 
 
-def kept_edges(edges: DataFrame, delta: Delta) -> DataFrame:
-    """Stored edges that a change leaves as they are."""
-    return edges.join(delta.replaced.select(F.col("doc_key").alias("doc")), norm_path(F.col("file_path")) == F.col("doc"), "left_anti")
+def kept_edges(edges: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Stored edges that a change leaves as they are: those of other documents than ``replaced`` (doc_key)."""
+    return edges.join(replaced.select(F.col("doc_key").alias("doc")), norm_path(F.col("file_path")) == F.col("doc"), "left_anti")
 
 
-def kept_nodes(nodes: DataFrame, delta: Delta) -> DataFrame:
-    """Stored nodes that a change leaves as they are."""
-    left = nodes.join(delta.touched.select(F.col("doc_key").alias("doc")), (F.col("path").isNotNull() & (norm_path(F.col("path")) == F.col("doc")) & (F.col("kind") != "Repository")), "left_anti")
-    return left.join(delta.lost, "id", "left_anti")
+def kept_nodes(nodes: DataFrame, touched: DataFrame, lost: DataFrame) -> DataFrame:
+    """Stored nodes that a change leaves as they are: without those of ``touched`` (doc_key) and of ``lost`` (id)."""
+    mine = F.col("path").isNotNull() & (norm_path(F.col("path")) == F.col("doc")) & (F.col("kind") != "Repository")
+    return nodes.join(touched.select(F.col("doc_key").alias("doc")), mine, "left_anti").join(lost, "id", "left_anti")
 
 
 def apply_delta(nodes: DataFrame, edges: DataFrame, delta: Delta) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after a change."""
-    return kept_nodes(nodes, delta).unionByName(delta.nodes), kept_edges(edges, delta).unionByName(delta.edges)
+    return kept_nodes(nodes, delta.touched, delta.lost).unionByName(delta.nodes), kept_edges(edges, delta.replaced).unionByName(delta.edges)
 
 
 def written(delta: Delta, documents: DataFrame) -> dict[str, DataFrame]:
@@ -128,9 +129,16 @@ def written(delta: Delta, documents: DataFrame) -> dict[str, DataFrame]:
     return {"documents": documents, "nodes": delta.nodes, "edges": delta.edges, "touched": delta.touched, "replaced": delta.replaced, "lost": delta.lost}
 
 
+def next_documents(documents: DataFrame, touched: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored documents after a change."""
+    return documents.join(touched, "doc_key", "left_anti").unionByName(new)
+
+
 def overlay(table: str, before: DataFrame, part) -> DataFrame:
-    """A stored table after one more stored change, of which ``part(name)`` reads the tables."""
-    delta = Delta(part("replaced"), part("edges"), part("touched"), part("lost"), part("nodes"))
+    """A stored table after one more stored change, of which ``part(name, schema)`` reads the tables."""
+    new, keys = part(table, before.schema), StructType([before.schema["doc_key"] if table == "documents" else StructField("doc_key", StringType())])
     if table == "documents":
-        return before.join(delta.touched, "doc_key", "left_anti").unionByName(part("documents"))
-    return (kept_nodes(before, delta) if table == "nodes" else kept_edges(before, delta)).unionByName(part(table))
+        return next_documents(before, part("touched", keys), new)
+    if table == "nodes":
+        return kept_nodes(before, part("touched", keys), part("lost", StructType([StructField("id", StringType())]))).unionByName(new)
+    return kept_edges(before, part("replaced", keys)).unionByName(new)

@@ -15,9 +15,12 @@ from ..operators.adjacency import Adjacency
 from ..operators.packages import package_graph, packages
 from ..operators.query import Graph, SymbolFilter
 from ..operators.refresh import apply_delta, graph_delta, kept_edges
+from ..operators.snippets import snippets
 from ..operators.textindex import TrigramIndex
 from ..session import change_keys
-from ..sources.shared import Keeper
+from ..sources.exchange import export_graph, import_graph
+from ..sources.shared import Keeper, shared_folder
+from ..streaming.state import newer
 from ..streaming.watch import latest
 from .projection import REPO, earlier, graph, tables
 
@@ -108,9 +111,9 @@ def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages(t.select(F.concat(F.lit("/Repo/Pkg"), F.col("n_regionkey").cast("string"), F.lit("\\"), "n_name", F.lit("_/Cargo.toml")).alias("path"), content.alias("content")))
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """A change feed made from ``orders``: a path for each customer, some of them in folders that are skipped."""
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet") if orders is None else orders
     folder = F.when(F.col("o_custkey") % 7 == 0, F.lit("node_modules")).otherwise(F.lit("Src"))
     path = F.concat(F.lit("/repo/"), folder, F.lit("/C"), F.col("o_custkey").cast("string"), F.lit(".py"))
     op = F.when(F.col("o_orderstatus") == "F", F.lit("delete")).otherwise(F.lit("upsert"))
@@ -147,7 +150,7 @@ def removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tuple(keep.write(x) for x in t)
     gone = t[0].where(F.col("doc_key") == GONE).select("doc_key")
     delta = graph_delta(REPO, t, tuple(x.limit(0) for x in t), gone, keep)
-    left = kept_edges(g.edges, delta).agg(F.count("*").alias("left"))
+    left = kept_edges(g.edges, delta.replaced).agg(F.count("*").alias("left"))
     n = g.edges.agg(F.count("*").alias("edges"))
     return delta.replaced.agg(F.count("*").alias("documents")).join(F.broadcast(n)).join(F.broadcast(left)).select("documents", "edges", (F.col("edges") - F.col("left")).alias("dropped"))  # single rows
 
@@ -158,6 +161,32 @@ REMOVAL = f"""
 reached_ AS (SELECT '{GONE}' AS doc_key UNION SELECT r.doc_key FROM relations_ r JOIN gone_ ON n = target WHERE NOT EXISTS (FROM local_ l WHERE l.n = r.target AND l.doc_key = r.doc_key))
 SELECT (SELECT count(*) FROM reached_) AS documents, count(*) AS edges, count(*) FILTER (lower(file_path) IN (SELECT doc_key FROM reached_)) AS dropped FROM edges
 """
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed through a stream with keyed state: the last event of each key."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    events = changes(spark, sf_dir, spark.readStream.schema(schema).parquet(f"{sf_dir}/orders*.parquet"))
+    at = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    query = newer(events).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out")
+    query.awaitTermination()
+    return latest(spark.read.parquet(f"{at}/out"))
+
+
+def text_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of places in ``documents``: of each text from its second line on, and beyond its end."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("text").alias("source"), F.col("doc_id").cast("int").alias("n"))
+    place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for k, (a, b) in enumerate(PLACES)])).alias("p")
+    places = d.select("doc_key", place).select(F.concat("doc_key", F.lit(":"), F.col("p.k").cast("string")).alias("id"), "doc_key", "p.start_line", "p.end_line")
+    return snippets(places, d, 3)
+
+
+def exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after an export to JSON and back."""
+    at = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    export_graph({"edges": graph(spark, sf_dir)[0].edges.select(*EDGE_COLUMNS)}, at)
+    return import_graph(spark, at)["edges"]
+
+
+PLACES = [(2, 9), (1, 1), (3, 3), (50, 60)]
 CHANGES = """WITH c AS (SELECT '/repo/' || CASE WHEN o_custkey % 7 = 0 THEN 'node_modules' ELSE 'Src' END || '/C' || o_custkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'upsert' END AS op, o_orderpriority AS source, o_orderkey AS seq FROM orders)
 """
 #: Queries of the tables themselves, without the graph.
@@ -175,6 +204,13 @@ PLAIN |= {
     "node_numbers": (lambda spark, d: index(spark, d)[0].table("nodes").select("id", "nid"), f"{PRELUDE} SELECT id, row_number() OVER (ORDER BY id) - 1 AS nid FROM nodes"),
     "edges_decoded": (lambda spark, d: (lambda a: a.edge_rows(a.table("in")).select(*EDGE_COLUMNS))(index(spark, d)[0]), f"{PRELUDE} SELECT {EDGES} FROM edges"),
     "trigram_contains": (lambda spark, d: (lambda a, x, _: a.node_rows(x.containing("PLATE")).select(*NODE_COLUMNS))(*index(spark, d)), f"{PRELUDE} SELECT {NODES} FROM nodes WHERE kind = 'Symbol' AND contains(lower(name), 'plate')"),
+    "change_feed_streamed": (streamed, CHANGES + "SELECT lower(path) AS key, arg_max(path, (seq, op)) AS path, arg_max(op, (seq, op)) AS op, arg_max(source, (seq, op)) AS source FROM c GROUP BY lower(path)"),
+    "snippets": (
+        text_snippets,
+        f"""WITH p(k, a, b) AS (VALUES {', '.join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(PLACES))}), d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
+SELECT doc_id || ':' || k AS id, CASE WHEN len(x) >= a THEN nullif(regexp_replace(replace(array_to_string(x[a:least(b, a + 2)], chr(10)), chr(13) || chr(10), chr(10)), chr(13) || '$', ''), '') END AS snippet FROM d, p""",
+    ),
+    "exported_edges": (exchanged, f"{PRELUDE} SELECT {EDGES} FROM edges"),
     "edge_ids_repeated": (
         lambda spark, d: graph(spark, d)[0].edges.agg(F.count("*").alias("edges"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull() | F.col("kind").isNull()).alias("without")),
         f"{PRELUDE} SELECT count(*) AS edges, count(DISTINCT id) AS ids, count(*) FILTER (id IS NULL OR kind IS NULL) AS without FROM edges",

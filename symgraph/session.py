@@ -13,13 +13,15 @@ from .operators.build import build_graph
 from .operators.extract import extract_documents, tables
 from .operators.packages import package_graph
 from .operators.query import Graph
-from .operators.refresh import graph_delta, written
+from .operators.refresh import apply_delta, graph_delta, next_documents, written
 from .sources import repository
 from .sources.shared import Keeper
 from .sources.store import Store, parts_of
 
 #: Changes that a version is read with; the next one writes it as a whole first.
 MAX_PARTS = 16
+#: A change that reaches a greater share of the documents is written as a whole version; others apart.
+WHOLE_SHARE = 0.1
 
 
 def memory_budget(value: str | None) -> int | None:
@@ -87,7 +89,12 @@ class RepositorySession:
                 meta = self.compact()
                 old = self.store.read("documents", meta)
             delta = graph_delta(self.repo_path, tables(old), tables(changed), gone, keep)
-            freed = self.store.replace(written(delta, changed), self.repo_path, meta["revision"] + 1, onto=meta)
+            if delta.replaced.count() > WHOLE_SHARE * old.count():
+                nodes, edges = apply_delta(self.store.read("nodes", meta), self.store.read("edges", meta), delta)
+                whole = {"documents": next_documents(old, delta.touched, changed.select(*old.columns)), "nodes": nodes, "edges": edges}
+                freed = self.store.replace(whole, self.repo_path, meta["revision"] + 1)
+            else:
+                freed = self.store.replace(written(delta, changed), self.repo_path, meta["revision"] + 1, onto=meta)
         finally:
             keep.release()
             new.unpersist()

@@ -75,7 +75,7 @@ class Store:
         first, *changes = parts_of(meta)
         df = self.spark.read.parquet(f"{self.path}/{first}/{table}")
         for folder in changes:
-            df = overlay(table, df, lambda name, folder=folder: self.spark.read.parquet(f"{self.path}/{folder}/{name}"))
+            df = overlay(table, df, lambda name, schema, folder=folder: self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}"))
         return df
 
     def size(self) -> int:

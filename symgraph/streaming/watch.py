@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.ids import EXTENSIONS, norm_path
 from ..session import RepositorySession, change_keys
 from ..sources.repository import SKIPPED, with_language
+from .source import repository_changes
+from .state import newer
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -34,13 +36,21 @@ def apply_batch(session: RepositorySession, batch: DataFrame) -> dict:
         last.unpersist()
 
 
-def watch(session: RepositorySession, changes: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Apply a streaming frame ``path, op, source, seq`` batch by batch. A batch is applied again after a
-    failure; that changes nothing, since equal content keeps the revision."""
-    writer = changes.writeStream.foreachBatch(lambda df, _: apply_batch(session, df)).option("checkpointLocation", checkpoint)
+def watch(session: RepositorySession, changes: DataFrame, checkpoint: str, trigger: dict | None = None, report: Callable[[dict], None] = lambda stats: None) -> StreamingQuery:
+    """Apply a streaming frame ``path, op, source, seq`` batch by batch; events that come after a later one of their path
+    do nothing, in whatever batch. A batch is applied again after a failure; that changes nothing, since equal content
+    keeps the revision. ``report`` gets the session's statistics after each batch."""
+    writer = newer(changes).writeStream.foreachBatch(lambda df, _: report(apply_batch(session, df))).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
 
 
+def watch_folder(session: RepositorySession, log: str, trigger: dict | None = None, report: Callable[[dict], None] = lambda stats: None) -> StreamingQuery:
+    """Keep the graph up to date with the repository's folder. ``log`` is a folder that the driver and all executors see,
+    for the stream's snapshots and checkpoint: a stream that is started again goes on from there."""
+    changes = repository_changes(session.spark, session.repo_path, f"{log}/snapshots")
+    return watch(session, changes, f"file://{os.path.realpath(log)}/checkpoint", trigger, report)
+
+
 def folder_state(root: str) -> dict[str, tuple[int, int]]:
     """Time and size of each file below a folder that an index may hold."""
     found = {}

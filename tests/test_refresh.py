@@ -70,11 +70,11 @@ def test_one_file_of_many(spark):
     one = F.col("doc_key") == "/r/f00000.rs"  # the first import of all, and a definition that three files aim at
     new = old[0].where(one), old[1].where(one).withColumn("name", F.lit("other")).withColumn("fq_name", F.lit("other")), old[2].where(one & (F.col("ordinal") < 3))
     delta = graph_delta("/r", old, new, old[0].where("false").select("doc_key"), keep)
-    total, left = edges.count(), kept_edges(edges, delta).count()
+    total, left = edges.count(), kept_edges(edges, delta.replaced).count()
     assert 0 < total - left < 0.01 * total and 1 < delta.replaced.count() <= 5 and delta.edges.count() < 0.01 * total
     after = tuple(t.where(~one).unionByName(x) for t, x in zip(old, new, strict=True))
     want = build_graph("/r", *after)[1]
-    got = kept_edges(edges, delta).unionByName(delta.edges)
+    got = kept_edges(edges, delta.replaced).unionByName(delta.edges)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
     keep.release()
 
@@ -103,6 +103,7 @@ def test_session_writes_changes_only(spark, tmp_path, monkeypatch):
         if step == 1:
             (repo / "f3.py").unlink()
         monkeypatch.setattr("symgraph.session.MAX_PARTS", 2)
+        monkeypatch.setattr("symgraph.session.WHOLE_SHARE", 1.0)
         s.refresh_paths(["f0.py", "f3.py"])
         other = RepositorySession(spark, str(repo), str(tmp_path / f"fresh{step}"))
         other.build_full()
