@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -131,13 +132,18 @@ def refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _indexes: dict[tuple[str, str], tuple[Adjacency, TrigramIndex, Keeper]] = {}
 
 
+def _dropped(adjacency: Adjacency) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone at exit
+        adjacency.drop()
+
+
 def index(spark: SparkSession, sf_dir: str) -> tuple[Adjacency, TrigramIndex, Keeper]:
     """The numbered, bucketed and indexed graph of a folder, written once a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
         g, keep = graph(spark, sf_dir)[0], Keeper(spark)
         adjacency = Adjacency.store(f"symgraph_{uuid.uuid4().hex}", g.nodes, g.edges, keep)
-        atexit.register(adjacency.drop)
+        atexit.register(_dropped, adjacency)
         names = adjacency.table("nodes").where("kind = 'Symbol'").select("nid", "name")
         _indexes[key] = adjacency, TrigramIndex(names, "name", keep), keep
     return _indexes[key]
