@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, materialize, mix, text_slices, window_hashes, word_hashes
+from .common import checked, materialize, mix, release, text_slices, window_hashes, word_hashes
 from .components import components, tested_pairs
 
 SHINGLE = 5
@@ -185,7 +185,7 @@ class Join:
         the shuffle, and then met by a join, which Spark splits where a key has very many: no task has all of them."""
         keys = self.docs.where("doc_id IS NOT NULL").mapInArrow(_keys, "key long, node long")
         ends = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-        rows = keys.join(checked(materialize(ends, "heads")), "key").select("key", "node", "head")
+        rows = keys.join(materialize(ends, "heads"), "key").select("key", "node", "head")
         return materialize(rows.dropDuplicates(["node", "key"]), "buckets")
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -237,7 +237,9 @@ class Join:
         turned = F.col("a") > F.col("b")
         ordered = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("la", "lb"), ("lb", "la"))]
         pairs = materialize(pairs.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti"), "across")
-        return self._contracted(labels, self.verified(pairs))
+        labels = self._contracted(labels, self.verified(pairs))
+        release(buckets)
+        return labels
 
     def _drawn(self, buckets: DataFrame, labels: DataFrame, tested: DataFrame, draw: int) -> DataFrame:
         """``a, b, la, lb``: untested pairs of a key's drawn node with its nodes of other components that may
