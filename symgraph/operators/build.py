@@ -65,7 +65,8 @@ def resolve_names(symbols: DataFrame, relations: DataFrame) -> DataFrame:
 
 def first_imports(resolved: DataFrame) -> DataFrame:
     """``dst, at``: each external module, and where it is imported first."""
-    return resolved.where("external AND kind = 'Import'").groupBy("dst").agg(F.min(F.struct("doc_key", "ordinal")).alias("at"))
+    first = resolved.where("external AND kind = 'Import'").groupBy("dst", "doc_key").agg(F.min("ordinal").alias("ordinal"))  # numbers need no sort
+    return first.groupBy("dst").agg(F.min(F.struct("doc_key", "ordinal")).alias("at"))
 
 
 def module_nodes(modules: DataFrame) -> DataFrame:
@@ -125,13 +126,37 @@ def relation_edges(docs: DataFrame, symbols: DataFrame, resolved: DataFrame, imp
     return _edge(r, F.col("x.kind"), src, F.col("dst"), F.col("path"), F.col("x.reason"))
 
 
-def build_graph(repo_path: str, documents: DataFrame, symbols: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def uses(relations: DataFrame) -> DataFrame:
+    """``relations`` that make the same edges, each once: of an import its first place counts, of others their last. They
+    are dealt by their source before they are counted, so that a task holds its own only."""
+    dealt = relations.where("target_name IS NOT NULL").repartition("doc_key", "source_local_id")
+    once = dealt.groupBy("doc_key", "source_local_id", "kind", "target_name", "reason").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    return once.withColumn("ordinal", F.when(F.col("kind") == "Import", F.col("first")).otherwise(F.col("last"))).select(*relations.columns)
+
+
+def stored_tables(documents: DataFrame, symbols: DataFrame, relations: DataFrame, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of a graph, written by ``keep`` (a Keeper): few documents are broadcast, relations are those of ``uses``."""
+    return keep(documents), keep.write(symbols), keep.write(uses(relations))
+
+
+def resolve_kept(symbols: DataFrame, some: DataFrame, keep) -> DataFrame:
+    """``resolve_names``, where each name of a document is resolved once; ``keep`` writes these names and broadcasts few."""
+    names = keep(resolve_names(symbols, some.select("doc_key", "target_name").distinct()))
+    return some.join(names, ["doc_key", "target_name"])
+
+
+def build_graph(repo_path: str, documents: DataFrame, symbols: DataFrame, relations: DataFrame, keep=None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of ``documents`` (doc_key, path, language), ``symbols`` (doc_key, ordinal, local_id,
     name, fq_name, kind, parent_local_id and the span's columns) and ``relations`` (doc_key, ordinal, kind,
-    source_local_id, target_name, reason). No job runs until they are read."""
+    source_local_id, target_name, reason). No job runs until they are read, unless there is a ``keep``: it writes
+    the names and imports that are met by all relations, and broadcasts them where they turn out to be few."""
     docs = documents.select("doc_key", "path", "language")
-    resolved = resolve_names(symbols, relations)
-    imports = first_imports(resolved)
+    if keep is None:
+        resolved = resolve_names(symbols, relations)
+        imports = first_imports(resolved)
+    else:
+        resolved = resolve_kept(symbols, relations, keep)
+        imports = keep(first_imports(resolved))
     # Kinds of structure and of relations are apart, so no id is in both.
     edges = structure_edges(repo_path, docs, symbols).unionByName(relation_edges(docs, symbols, resolved, imports))
     return graph_nodes(repo_path, docs, symbols, imports), edges

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import norm_path
-from ..operators.build import SPAN, build_graph
+from ..functions.ids import edge_id, norm_path
+from ..operators.build import SPAN, build_graph, stored_tables
 from ..operators.query import Graph
+from ..sources.shared import Keeper
 
 REPO = "/repo"
+#: Order keys of a range whose lines are numbered together.
+RANGE = 1 << 16
+LINE_ORDER = "l_orderkey l_linenumber l_suppkey l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+def numbered_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Lines, joined to their orders, with ``k``: their number within a nation in ``LINE_ORDER``. Lines of an order are
+    numbered where the join has put them, and are narrow from there on. Then each range of order keys numbers its own, and
+    the counts of the ranges before (a row a nation and range) shift them: a nation is never sorted in one task. ``names``
+    (p_partkey, p_name; each key once) are joined before, so that rows stay grouped by nation and shuffle well."""
+    of_range = F.floor(F.col("l_orderkey") / RANGE)
+    counts = lines.select(F.col("s_nationkey").alias("nation_"), of_range.alias("range_")).groupBy("nation_", "range_").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("nation_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(counts.select("nation_", "range_", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")))
+    own = F.row_number().over(Window.partitionBy("s_nationkey", "l_orderkey").orderBy(*LINE_ORDER))
+    some = lines.withColumn("own", own).select("l_orderkey", "own", "l_suppkey", "l_partkey", "l_linestatus", "s_nationkey", "o_orderpriority", of_range.alias("range"))
+    some = some.join(names, F.col("l_partkey") == F.col("p_partkey"), "left").drop("l_partkey", "p_partkey")
+    place = F.row_number().over(Window.partitionBy("s_nationkey", "range").orderBy("l_orderkey", "own"))
+    some = some.withColumn("place", place).drop("l_orderkey", "own")
+    return some.join(starts, (F.col("s_nationkey") == F.col("nation_")) & (F.col("range") == F.col("range_"))).withColumn("k", F.col("start") + F.col("place")).drop("nation_", "range_", "range", "start", "place")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, symbols and relations."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    # Parquet of regular rows is far smaller than they are in memory: sides that grow are shuffled, whatever their files' size.
+    met = lambda df: df.hint("shuffle_merge")
     part = read("part").withColumn("path", F.concat(F.lit("/repo/parts/"), F.translate("p_brand", "#", "_"), F.lit(".rs")))
     nation = F.broadcast(read("nation"))  # 25 rows
     supplier = read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("path", F.concat(F.lit("/repo/suppliers/"), "n_name", F.lit(".py")))
@@ -35,22 +60,27 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     symbols = symbols.unionByName(symbols_of(supplier, F.col("s_suppkey"), kind, F.col("s_name"), F.col("s_name"), F.col("s_suppkey") + 1, 1, none))
 
     of_supplier = F.concat(F.lower(kind), F.lit(":"), "s_name", F.lit(":"), (F.col("s_suppkey") + 1).cast("string"), F.lit(":1"))
-    lines = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    order = Window.partitionBy("s_nationkey").orderBy(*"l_orderkey l_linenumber l_suppkey l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split())
-    lines = lines.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left").withColumn("k", F.row_number().over(order).cast("long"))
+    # The wide rows are shuffled once, to meet their orders; names are joined to what is left of them.
+    lines = read("lineitem").join(F.broadcast(supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey")  # a row a supplier
+    lines = numbered_lines(lines.join(met(read("orders").select("o_orderkey", "o_orderpriority")), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"), met(part.select("p_partkey", "p_name")))
+    lines = lines.join(F.broadcast(supplier.select("s_suppkey", "s_name", "path")), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = (F.col("l_linestatus") == "F") & (F.col("s_nationkey") >= 5)
 
     def relations_of(df: DataFrame, ordinal, kind, source, target) -> DataFrame:
         reason = F.element_at(F.create_map(*[F.lit(x) for x in ("Import", "import", "Reference", "identifier", "Call", "call")]), kind)
         return df.select(norm_path(F.col("path")).alias("doc_key"), ordinal.cast("long").alias("ordinal"), kind.alias("kind"), source.alias("source_local_id"), target.alias("target_name"), reason.alias("reason"))
 
-    rel = relations_of(lines, 2 * F.col("k"), F.when(imports, "Import").otherwise("Reference"), of_supplier, F.col("o_orderpriority"))
-    rel = rel.unionByName(relations_of(lines.where("p_name IS NOT NULL"), 2 * F.col("k") + 1, F.lit("Call"), of_supplier, F.col("p_name")))
+    # Both relations of a line come from one pass.
+    named = F.struct((2 * F.col("k")).alias("at"), F.when(imports, "Import").otherwise("Reference").alias("kind"), F.col("o_orderpriority").alias("target"))
+    called = F.struct((2 * F.col("k") + 1).alias("at"), F.lit("Call").alias("kind"), F.col("p_name").alias("target"))
+    both = F.when(F.col("p_name").isNull(), F.array(named)).otherwise(F.array(named, called))
+    each = lines.select("path", of_supplier.alias("source"), F.explode(both).alias("x"))
+    rel = relations_of(each, F.col("x.at"), F.col("x.kind"), F.col("source"), F.col("x.target"))
     source = F.concat(F.lit("function:"), "p_name", F.lit(":"), (F.col("p_partkey") + 2).cast("string"), F.lit(":5"))
-    succ = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    succ = part.join(met(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))), "p_partkey")
     rel = rel.unionByName(relations_of(succ, 3 * F.col("p_partkey"), F.lit("Reference"), source, F.col("next")))
     n = part.count()
-    seven = part.withColumn("to", 7 * F.col("p_partkey") % n).join(part.select(F.col("p_partkey").alias("to"), fq.alias("called")), "to")
+    seven = part.withColumn("to", 7 * F.col("p_partkey") % n).join(met(part.select(F.col("p_partkey").alias("to"), fq.alias("called"))), "to")
     rel = rel.unionByName(relations_of(seven, 3 * F.col("p_partkey") + 1, F.lit("Call"), source, F.col("called")))
     rel = rel.unionByName(relations_of(part.where("p_partkey % 10 = 0"), 3 * F.col("p_partkey") + 2, F.lit("Reference"), source, F.lit("missing")))
     return docs, symbols, rel
@@ -71,6 +101,30 @@ def earlier(docs: DataFrame, symbols: DataFrame, relations: DataFrame) -> tuple[
     return old, tuple(t.where(comes | changes) for t in (docs, symbols, relations)), gone
 
 
+class StoredGraph(Graph):
+    """The graph of tables, which are written at first use as it is. An edge's id is put together from the rest when it is read."""
+
+    def __init__(self, tables: tuple[DataFrame, DataFrame, DataFrame]):
+        self._tables, self._keep = tables, Keeper(tables[0].sparkSession)
+
+    @cached_property
+    def stored(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return stored_tables(*self._tables, self._keep)
+
+    @cached_property
+    def _plans(self) -> tuple[DataFrame, DataFrame]:
+        return build_graph(REPO, *self.stored, keep=self._keep)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._keep.write(self._plans[0])
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        e = self._keep.write(self._plans[1].drop("id"))
+        return e.select(edge_id(*[F.col(c) for c in ("kind", "src", "dst", "file_path")]).alias("id"), *e.columns)
+
+
 _graphs: dict[tuple[str, str], tuple[Graph, tuple]] = {}
 
 
@@ -79,6 +133,5 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, tuple[DataFrame, Dat
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
         t = tables(spark, sf_dir)
-        nodes, edges = build_graph(REPO, *t)
-        _graphs[key] = Graph(nodes.persist(), edges.persist()), t
+        _graphs[key] = StoredGraph(t), t
     return _graphs[key]
