@@ -124,8 +124,8 @@ def changes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -
 def refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The graph of an earlier state of the projected tables, after the change to the present one."""
     keep = Keeper(spark)
-    old, new, gone = earlier(*[keep.write(t) for t in tables(spark, sf_dir)])
-    nodes, edges = build.build_graph(REPO, *old)
+    old, new, gone = earlier(*build.stored_tables(*tables(spark, sf_dir), keep))
+    nodes, edges = build.build_graph(REPO, *old, keep=keep)
     return apply_delta(nodes, edges, graph_delta(REPO, old, new, gone, keep))
 
 
@@ -151,9 +151,8 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[Adjacency, TrigramIndex, Ke
 
 def removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the removal of one file reaches: documents built anew or dropped, edges dropped, edges of all."""
-    g, t = graph(spark, sf_dir)
-    keep = Keeper(spark)
-    t = tuple(keep.write(x) for x in t)
+    g, keep = graph(spark, sf_dir)[0], Keeper(spark)
+    t = g.stored
     gone = t[0].where(F.col("doc_key") == GONE).select("doc_key")
     delta = graph_delta(REPO, t, tuple(x.limit(0) for x in t), gone, keep)
     left = kept_edges(g.edges, delta.replaced).agg(F.count("*").alias("left"))
