@@ -162,6 +162,17 @@ def build_graph(repo_path: str, documents: DataFrame, symbols: DataFrame, relati
     return graph_nodes(repo_path, docs, symbols, imports), edges
 
 
+def id_counts(edges: DataFrame, keep) -> DataFrame:
+    """``edges, ids, without``: rows, distinct ids, rows without an id or a kind. Ids are told apart by 64-bit hashes, and
+    themselves compared where a hash comes more than once."""
+    hashed = edges.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("hash"))
+    shared = keep(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    again = hashed.join(shared, "hash", "left_semi").agg(F.count_distinct("id").alias("again"))
+    rows = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    all_ = edges.agg(F.count("*").alias("edges"), F.count("id").alias("with_id"), F.count_if(F.col("id").isNull() | F.col("kind").isNull()).alias("without"))
+    return all_.join(F.broadcast(rows)).join(F.broadcast(again)).select("edges", (F.col("with_id") - F.col("rows") + F.col("again")).alias("ids"), "without")  # single rows
+
+
 def index_stats(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     counts = [documents.select(F.count("*").alias("file_count")), nodes.select(F.count_if(F.col("kind") == "Symbol").alias("symbol_count")), edges.select(F.count("*").alias("edge_count"))]
     return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # single rows

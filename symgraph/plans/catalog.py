@@ -217,7 +217,7 @@ SELECT doc_id || ':' || k AS id, CASE WHEN len(x) >= a THEN nullif(regexp_replac
     ),
     "exported_edges": (exchanged, f"{PRELUDE} SELECT {EDGES} FROM edges"),
     "edge_ids_repeated": (
-        lambda spark, d: graph(spark, d)[0].edges.agg(F.count("*").alias("edges"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").isNull() | F.col("kind").isNull()).alias("without")),
+        lambda spark, d: build.id_counts(graph(spark, d)[0].edges, Keeper(spark)),
         f"{PRELUDE} SELECT count(*) AS edges, count(DISTINCT id) AS ids, count(*) FILTER (id IS NULL OR kind IS NULL) AS without FROM edges",
     ),
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
-from symgraph.operators.build import build_graph, stored_tables
+from symgraph.operators.build import build_graph, id_counts, stored_tables
 from symgraph.plans import projection
 from symgraph.sources.shared import Keeper
 
@@ -56,3 +56,11 @@ def test_relations_count_once(spark, tables):
     for got, want in zip(build_graph("/r", *stored, keep=keep), build_graph("/r", *tables), strict=True):
         assert rows(got) == rows(want)
     keep.release()
+
+
+def test_ids_are_counted_by_hashes(spark):
+    keep = Keeper(spark)
+    edges = spark.createDataFrame([("a", "k"), ("a", "k"), ("b", None), (None, "k"), ("c", "k"), ("c", "k"), ("c", "k")], "id string, kind string")
+    assert id_counts(edges, keep).collect() == [(7, 3, 2)]
+    assert id_counts(edges.limit(0), keep).collect() == [(0, 0, 0)]
+    keep.release()
