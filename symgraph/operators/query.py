@@ -93,19 +93,18 @@ class Graph:
         edges = self.edges.where(F.col("kind").isin(*kinds))
         spark = self.nodes.sparkSession
         seen = frontier = spark.createDataFrame([(t, 0)], "id string, level int")
-        found, before = None, None
+        before, rows = None, 1
         for level in range(depth):
             near = F.broadcast(frontier)
             if level:
                 n = frontier.limit(FRONTIER_ROWS + 1).count()
                 if not n:
                     break
-                near = near if n <= FRONTIER_ROWS else frontier
+                near, rows = near if n <= FRONTIER_ROWS else frontier, rows + n
             at = near.select(F.col("id").alias("cur"))
             on = {"outbound": F.col("src") == F.col("cur"), "inbound": F.col("dst") == F.col("cur")}
             hops = [edges.join(at, on[d]).withColumn("next", F.col("dst" if d == "outbound" else "src")) for d in on if direction in (d, "both")]
             hop = hops[0] if len(hops) == 1 else hops[0].unionByName(hops[1])
-            found = hop.select(*self.edges.columns) if found is None else found.unionByName(hop.select(*self.edges.columns))
             reached = hop.select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(level + 1))
             # One table of all that is reached so far is kept; the one before is let go once this one is there.
             seen = seen.unionByName(reached).persist()
@@ -115,7 +114,12 @@ class Graph:
             if before is not None:
                 before.unpersist()
             before = seen
-        found = self.edges.limit(0) if found is None else found.dropDuplicates(["id"])
+        # Edges of all that was expanded, in one pass; one whose ends both were is taken by its source.
+        expanded = seen.where(F.col("level") < depth).select(F.col("id").alias("cur"))
+        expanded = F.broadcast(expanded) if rows <= FRONTIER_ROWS else expanded
+        found = edges.join(expanded, F.col("dst" if direction == "inbound" else "src") == F.col("cur"), "left_semi")
+        if direction == "both":
+            found = found.unionByName(edges.join(expanded, F.col("dst") == F.col("cur"), "left_semi").join(expanded, F.col("src") == F.col("cur"), "left_anti"))
         return t, seen, found
 
     def dependencies(self, target: str, direction: str = "outbound", depth: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from symgraph.operators.build import build_graph, id_counts, stored_tables
+from symgraph.operators.query import Graph
 from symgraph.plans import projection
 from symgraph.sources.shared import Keeper
 
@@ -58,6 +59,17 @@ def test_relations_count_once(spark, tables):
     keep.release()
 
 
+@pytest.mark.parametrize("direction", ["outbound", "inbound", "both"])
+def test_walks_leave_edges_where_they_are(tables, direction):
+    g = Graph(*(x.persist() for x in build_graph("/r", *tables)))
+    _, seen, found = g.traverse("n1", 2, ("DependsOn", "Calls"), direction)
+    assert "hashpartitioning(id" not in plan(found)  # edges are not told apart after the walk
+    near = {r["id"] for r in seen.where("level < 2").collect()}
+    ends = {"outbound": lambda r: r["src"] in near, "inbound": lambda r: r["dst"] in near, "both": lambda r: r["src"] in near or r["dst"] in near}
+    want = [r["id"] for r in g.edges.where("kind IN ('DependsOn', 'Calls')").collect() if ends[direction](r)]
+    assert sorted(r["id"] for r in found.collect()) == sorted(want) and want
+
+
 def test_ids_are_counted_by_hashes(spark):
     keep = Keeper(spark)
     edges = spark.createDataFrame([("a", "k"), ("a", "k"), ("b", None), (None, "k"), ("c", "k"), ("c", "k"), ("c", "k")], "id string, kind string")
