@@ -50,9 +50,10 @@ def encode(nodes: DataFrame, edges: DataFrame, keep) -> tuple[DataFrame, DataFra
     """``nodes`` with ``nid``, and edges as ``src, dst, kind, doc, reason``: numbers of nodes and of the edge's file. The
     two ends and the file are looked up one after the other, and each join after the first carries numbers only."""
     numbers = keep(dense_numbers(nodes.select("id"), keep))
+    files = keep(numbers.where(F.col("id").startswith("file::")))  # far fewer than edges, each in very many of them
     e = edges.select("src", "dst", kind_number(F.col("kind")).alias("kind"), "reason", file_id(norm_path(F.col("file_path"))).alias("doc"))
-    for c in ("src", "dst", "doc"):
-        named = numbers.select(F.col("id").alias(c), F.col("nid").alias(f"{c}_"))
+    for c in ("doc", "src", "dst"):
+        named = (files if c == "doc" else numbers).select(F.col("id").alias(c), F.col("nid").alias(f"{c}_"))
         e = e.join(named, c, "left" if c == "doc" else "inner").drop(c).withColumnRenamed(f"{c}_", c)
     return nodes.join(numbers, "id"), e.select("src", "dst", "kind", "doc", "reason")
 
@@ -128,9 +129,13 @@ class Adjacency:
 
     def edge_rows(self, coded: DataFrame) -> DataFrame:
         """Edges as they were before they were numbered."""
+        nodes = self.table("nodes")
+        files = nodes.where("kind = 'File'")
+        if files.select("nid").limit(FRONTIER_ROWS + 1).count() <= FRONTIER_ROWS:
+            files = F.broadcast(files)  # a file is that of very many edges
         e = coded
-        for c in ("src", "dst", "doc"):
-            named = self.table("nodes").select(F.col("nid").alias(c), F.col("path" if c == "doc" else "id").alias(f"{c}_"))
+        for c in ("doc", "dst", "src"):  # from the bucketed table ``in``, ends are met in its buckets first
+            named = (files if c == "doc" else nodes).select(F.col("nid").alias(c), F.col("path" if c == "doc" else "id").alias(f"{c}_"))
             e = e.join(named, c, "left").drop(c).withColumnRenamed(f"{c}_", c)
         kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int"))
         return e.select(edge_id(kind, F.col("src"), F.col("dst"), F.col("doc")).alias("id"), kind.alias("kind"), "src", "dst", F.col("doc").alias("file_path"), "reason")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
+from symgraph.operators.adjacency import Adjacency
 from symgraph.operators.build import build_graph, id_counts, stored_tables
 from symgraph.operators.query import Graph
 from symgraph.plans import projection
@@ -70,6 +71,19 @@ def test_walks_leave_edges_where_they_are(tables, direction):
     assert sorted(r["id"] for r in found.collect()) == sorted(want) and want
 
 
+def test_files_of_edges_are_broadcast(spark, tables):
+    keep = Keeper(spark)
+    nodes, edges = build_graph("/r", *tables)
+    a = Adjacency.store("test_growth", nodes, edges, keep, buckets=4)
+    try:
+        decoded = a.edge_rows(a.table("in"))
+        assert rows(decoded.select(*edges.columns)) == rows(edges)
+        assert "hashpartitioning(doc" not in plan(decoded) and "hashpartitioning(dst" not in plan(decoded)
+    finally:
+        a.drop()
+        keep.release()
+
+
 def test_ids_are_counted_by_hashes(spark):
     keep = Keeper(spark)
     edges = spark.createDataFrame([("a", "k"), ("a", "k"), ("b", None), (None, "k"), ("c", "k"), ("c", "k"), ("c", "k")], "id string, kind string")
