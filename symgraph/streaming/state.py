@@ -12,25 +12,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.ids import norm_path
 
 EVENT = "path string, op string, source string, seq long"
+#: Keys are dealt to so many groups by a hash, since Python is called once a group and batch, not once a key. A checkpoint
+#: holds its state by these groups, so the number must stay; a batch writes the numbers of the groups that it touches anew.
+GROUPS = 4096
 
 
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The last event of a path in a batch, by seq, op, source and path, if its number is beyond the state's."""
-    last = state.get[0] if state.exists else None
-    best = None
+def _order(event: tuple) -> tuple:
+    path, op, source, seq = event
+    return seq, op or "", source is not None, source or "", path
+
+
+def _newest(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Of each key of a group the last event in a batch, by seq, op, source and path, if its number is beyond the state's."""
+    last = dict(state.get[0]) if state.exists else {}
+    best: dict[str, tuple] = {}
     for events in batches:
-        for path, op, source, seq in zip(events["path"], events["op"], events["source"], events["seq"], strict=True):
-            source = None if source is None or pd.isna(source) else source
-            order = (int(seq), op or "", source is not None, source or "", path)
-            if (last is None or order[0] > last) and (best is None or order > best[0]):
-                best = order, (path, op, source, int(seq))
-    if best is not None:
-        state.update((best[0][0],))
-        yield pd.DataFrame([best[1]], columns=["path", "op", "source", "seq"])
+        texts = [events[c].astype(object).where(events[c].notna(), None) for c in ("key", "path", "op", "source")]
+        for key, *event in zip(*texts, events["seq"].tolist(), strict=True):
+            seq, old = event[3], best.get(key)
+            if (key not in last or seq > last[key]) and (old is None or seq > old[3] or (seq == old[3] and _order(event) > _order(old))):
+                best[key] = event
+    if best:
+        state.update((last | {key: event[3] for key, event in best.items()},))
+        yield pd.DataFrame(list(best.values()), columns=["path", "op", "source", "seq"])
 
 
 def newer(changes: DataFrame) -> DataFrame:
     """Of a streaming frame ``path, op, source, seq`` the last event of each path in a batch, unless one with its number or a
     later one has come in an earlier batch. The state is a number a path; events without a number are dropped."""
     rows = changes.select("path", "op", "source", F.col("seq").cast("long").alias("seq"), norm_path(F.col("path")).alias("key")).where("seq IS NOT NULL AND path IS NOT NULL")
-    return rows.groupBy("key").applyInPandasWithState(_newest, EVENT, "seq long", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
+    return rows.groupBy("group").applyInPandasWithState(_newest, EVENT, "seqs map<string, long>", "append", GroupStateTimeout.NoTimeout)

@@ -9,6 +9,7 @@ from symgraph import cli
 from symgraph.operators.snippets import snippets
 from symgraph.session import RepositorySession
 from symgraph.sources.exchange import ExchangeError, export_graph, import_graph
+from symgraph.streaming import state
 from symgraph.streaming.source import _Reader, repository_changes
 from symgraph.streaming.state import newer
 from symgraph.streaming.watch import watch, watch_folder
@@ -66,6 +67,29 @@ def test_late_and_repeated_events_do_nothing(spark, tmp_path):
     assert got == [("/r/a.py", "upsert", "one", 5), ("/r/a.py", "upsert", "two", 6), ("/r/b.py", "delete", "", 2), ("/r/b.py", "upsert", "x", 1)]
 
 
+def test_state_is_kept_by_groups_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "GROUPS", 3, raising=False)
+    rnd = random.Random(3)
+    feed, out, at = str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "at")
+    schema = "path string, op string, source string, seq long"
+    last, want = {}, []
+    for _ in range(3):
+        rows = [(f"/{rnd.choice('rR')}/f{rnd.randrange(60)}.py", rnd.choice(["upsert", "delete", None]), rnd.choice(["a", "b", "", None]), rnd.randrange(40)) for _ in range(400)]
+        best = {}
+        for path, op, source, seq in rows:
+            key, order = path.lower(), (seq, op or "", source is not None, source or "", path)
+            if seq > last.get(key, -1) and (key not in best or order > best[key][0]):
+                best[key] = order, (path, op, source, seq)
+        want += [event for _, event in best.values()]
+        last |= {key: event[3] for key, (_, event) in best.items()}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        query = newer(spark.readStream.schema(schema).parquet(feed)).writeStream.format("parquet").option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start(out)
+        run(query)
+        assert max(x["numRowsTotal"] for p in query.recentProgress for x in p["stateOperators"]) <= 3  # Python is called once a group
+    got = [tuple(r[c] for c in ("path", "op", "source", "seq")) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 60
+
+
 @pytest.fixture
 def repo(tmp_path):
     at = tmp_path / "repo"
