@@ -18,18 +18,26 @@ RANGE = 1 << 16
 LINE_ORDER = "l_orderkey l_linenumber l_suppkey l_partkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
-def numbered_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """Lines, joined to their orders, with ``k``: their number within a nation in ``LINE_ORDER``. Lines of an order are
-    numbered where the join has put them, and are narrow from there on. Then each range of order keys numbers its own, and
-    the counts of the ranges before (a row a nation and range) shift them: a nation is never sorted in one task. ``names``
-    (p_partkey, p_name; each key once) are joined before, so that rows stay grouped by nation and shuffle well."""
+def numbered_lines(lines: DataFrame, names: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Lines with ``k``: their number within a nation in ``LINE_ORDER``; joined to ``orders`` (o_orderkey, o_orderpriority),
+    unless they are already. Lines of an order are ranked by the sort that their join needs anyway, and are narrow from there
+    on, so a task sorts wide rows once. Then each range of order keys numbers its own, and the counts of the ranges before (a
+    row a nation and range) shift them: a nation is never sorted in one task. ``names`` (p_partkey, p_name; each key once)
+    are joined before, so that rows stay grouped by nation and shuffle well."""
     of_range = F.floor(F.col("l_orderkey") / RANGE)
-    counts = lines.select(F.col("s_nationkey").alias("nation_"), of_range.alias("range_")).groupBy("nation_", "range_").agg(F.count("*").alias("rows"))
+
+    def met(df: DataFrame, how: str) -> DataFrame:
+        return df if orders is None else df.join(orders.hint(how), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+    # Counting needs no order: the keys of orders are hashed, and narrow lines, many of which make a partition, pass unsorted.
+    counts = met(lines, "shuffle_hash").select(F.col("s_nationkey").alias("nation_"), of_range.alias("range_")).groupBy("nation_", "range_").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("nation_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(counts.select("nation_", "range_", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")))
-    own = F.row_number().over(Window.partitionBy("s_nationkey", "l_orderkey").orderBy(*LINE_ORDER))
-    some = lines.withColumn("own", own).select("l_orderkey", "own", "l_suppkey", "l_partkey", "l_linestatus", "s_nationkey", "o_orderpriority", of_range.alias("range"))
+    own = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER[1:]))
+    some = lines.withColumn("own", own).drop(*[c for c in LINE_ORDER if c not in ("l_orderkey", "l_suppkey", "l_partkey", "l_linestatus")])
+    some = met(some, "shuffle_merge").select("l_orderkey", "own", "l_suppkey", "l_partkey", "l_linestatus", "s_nationkey", "o_orderpriority", of_range.alias("range"))
     some = some.join(names, F.col("l_partkey") == F.col("p_partkey"), "left").drop("l_partkey", "p_partkey")
+    # Lines of an order that is there twice have one rank, and a place each.
     place = F.row_number().over(Window.partitionBy("s_nationkey", "range").orderBy("l_orderkey", "own"))
     some = some.withColumn("place", place).drop("l_orderkey", "own")
     return some.join(starts, (F.col("s_nationkey") == F.col("nation_")) & (F.col("range") == F.col("range_"))).withColumn("k", F.col("start") + F.col("place")).drop("nation_", "range_", "range", "start", "place")
@@ -62,7 +70,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     of_supplier = F.concat(F.lower(kind), F.lit(":"), "s_name", F.lit(":"), (F.col("s_suppkey") + 1).cast("string"), F.lit(":1"))
     # The wide rows are shuffled once, to meet their orders; names are joined to what is left of them.
     lines = read("lineitem").join(F.broadcast(supplier.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey")  # a row a supplier
-    lines = numbered_lines(lines.join(met(read("orders").select("o_orderkey", "o_orderpriority")), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"), met(part.select("p_partkey", "p_name")))
+    lines = numbered_lines(lines, met(part.select("p_partkey", "p_name")), read("orders").select("o_orderkey", "o_orderpriority"))
     lines = lines.join(F.broadcast(supplier.select("s_suppkey", "s_name", "path")), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = (F.col("l_linestatus") == "F") & (F.col("s_nationkey") >= 5)
 

@@ -51,6 +51,31 @@ def test_lines_are_numbered_by_ranges(spark, monkeypatch):
     assert windows and not any("[s_nationkey" in x and "range" not in x and "l_orderkey" not in x for x in windows)
 
 
+def test_wide_lines_are_sorted_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(projection, "RANGE", 7)
+    rnd = random.Random(5)
+    lines = [(rnd.choice([None, *range(40)]), rnd.randrange(3), n % 4, rnd.randrange(9), 1.0, rnd.choice("FO")) for n in range(500)]
+    orders = [(rnd.randrange(5, 50), f"{rnd.randrange(5)}-X") for _ in range(50)]  # some are missing, some are there twice
+    given = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_linestatus string").select("*", *[F.col("l_quantity").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")]),
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string"),
+        "part": spark.createDataFrame([(i, f"p{i}", "T", "Brand#11") for i in range(6)], "p_partkey long, p_name string, p_type string, p_brand string"),
+        "supplier": spark.createDataFrame([(i, f"s{i}", i % 2) for i in range(4)], "s_suppkey long, s_name string, s_nationkey long"),
+        "nation": spark.createDataFrame([(i, f"N{i}") for i in range(2)], "n_nationkey long, n_name string"),
+    }
+    for name, df in given.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    relations = projection.tables(spark, str(tmp_path))[2].where("kind = 'Call' AND doc_key LIKE '%.py'")
+    sorts = [x for x in plan(relations).split("\n") if "Sort [" in x and "l_orderkey" in x]
+    assert [x.split("Sort [")[1].split("#")[0] for x in sorts] == ["s_nationkey", "l_orderkey"]  # the narrow ones by range, the wide ones by order
+    met = [(n % 2, k, i, s, p) for (k, i, s, p, *_), n in zip(lines, [x[2] for x in lines], strict=True) for o, _ in orders if o == k]
+    want, at = [], {}
+    for nation, _, _, _, p in sorted(met):
+        at[nation] = at.get(nation, 0) + 1
+        want += [(f"/repo/suppliers/n{nation}.py", 2 * at[nation] + 1, f"p{p}")] if p < 6 else []
+    assert sorted((r["doc_key"], r["ordinal"], r["target_name"]) for r in relations.collect()) == sorted(want) and want
+
+
 def test_relations_count_once(spark, tables):
     keep = Keeper(spark)
     stored = stored_tables(*tables, keep)
