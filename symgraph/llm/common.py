@@ -17,7 +17,7 @@ WS = r"[\x20\x09-\x0D]+"
 #: A side is broadcast only below this many rows (counted) and bytes of its Parquet files; beyond, joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
 #: Bytes of text that the numpy kernels work on at once (a longer single document is one slice).
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 #: Bytes of an Arrow batch on its way to a Python worker and back; by rows alone, 10,000 long texts would be one.
 BATCH_BYTES = "4m"

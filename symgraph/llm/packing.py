@@ -26,6 +26,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import checked, materialize
 
 CAPACITY, END_ID = 4096, 1
-#: Words that a Python worker keeps the ids of, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words that a Python worker keeps the ids of, by generation; words met in one slice only; and the longest such word.
+CACHE_WORDS, ONCE_WORDS, CACHE_LENGTH = 170_000, 100_000, 64
 #: Pieces of one length that share a range, on average, up to MAX_RANGES ranges a length.
 RANGE_ROWS, MAX_RANGES = 256, 65_536
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 _worker: dict = {}
 
@@ -69,7 +70,9 @@ class WordEncoder:
     """Ids of texts, word by word: white space always parts tokens of this vocabulary, and A-Z are
     lower-cased by it, so that the ids of a text are those of its words in turn, and words recur. Ids are
     kept packed (little-endian 32 bits), in two generations: the older half of the cache goes when the
-    newer one is full. Special tokens' strings in a text are ordinary text.
+    newer one is full. Most words are met once only, so a word gets there when a second slice of texts has it; until
+    then it waits among ``once``, of which the first half goes when it is full. Special tokens' strings in a text are
+    ordinary text.
 
     Words of letters of which normalisation changes the case alone are encoded in bulk: each
     is one run of letters, so it has one token that ends a run, its last. All other words are encoded one by
@@ -89,6 +92,7 @@ class WordEncoder:
             self.last[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
         #: Characters, and whether they are letters that stay one letter.
         self.plain: dict[str, bool] = {}
 
@@ -120,26 +124,33 @@ class WordEncoder:
             found = self.tokenizer.encode_batch_fast([rest[w] for w in part], add_special_tokens=False)
             self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put ``words`` into the cache. A full stop or comma after a run of plain letters is a token of its own."""
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Put ``words`` into the cache; those that were encoded for it. A full stop or comma after a run of plain letters is
+        a token of its own."""
         plain, rest, ended = {}, {w: w.decode() for w in (b".", b",") if w not in self.cache}, []
-        old, letters = self.old.get, self._letters
-        for w in words:
-            if (ids := old(w)) is not None:
+        old, once, letters = self.old.get, self.once.pop, self._letters
+
+        def found(w: bytes) -> bool:
+            if (ids := old(w)) is not None or (ids := once(w, None)) is not None:
                 self.cache[w] = ids
+            return ids is not None
+
+        for w in words:
+            if found(w):
                 continue
             text = w.decode("utf-8", "replace")
             if letters(text):
                 plain[w] = text
             elif text[-1:] in (".", ",") and letters(text[:-1]):
                 ended.append(w)
-                if w[:-1] not in self.cache:
+                if w[:-1] not in self.cache and not found(w[:-1]):
                     plain[w[:-1]] = text[:-1]
             else:
                 rest[w] = text
         self._encode(plain, rest)
         for w in ended:
             self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
+        return [*plain, *(w for w in rest if w not in plain), *ended]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [_split(t.encode("utf-8", "replace").translate(_BLANK)) for t in texts]
@@ -148,12 +159,16 @@ class WordEncoder:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.old, self.cache = self.cache, {}
             new = words
-        self._learn(new)
+        learned = self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, s)) for s in split]
-        for w in [w for w in new if len(w) > CACHE_LENGTH]:
-            self.cache.pop(w, None)
-            self.cache.pop(w[:-1], None)
+        for w in learned:
+            ids = self.cache.pop(w)
+            if len(w) <= CACHE_LENGTH:
+                self.once[w] = ids
+        if len(self.once) > ONCE_WORDS:
+            for w in list(islice(self.once, len(self.once) - ONCE_WORDS // 2)):
+                del self.once[w]
         return out
 
 

@@ -128,3 +128,29 @@ def test_marks_after_capitals():
         part = texts[at : at + 2000]
         for t, got, want in zip(part, encoder(part), tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
             assert got == np.array(want.ids, "<u4").tobytes(), repr(t)
+
+
+def test_memory_of_an_encoder_is_bounded():
+    """Words that no other text has don't fill a worker's memory, and words that recur are encoded at most twice."""
+    import tracemalloc
+
+    encoder, rnd = packing.WordEncoder(packing._vocabulary()), random.Random(7)
+    tok, seen, known = Tokenizer.from_file(packing._vocabulary()), [], [f"{a}{b}" for a in "abcdefghij" for b in ("one", "wo,", "t.")]
+    encode = encoder._encode
+    encoder._encode = lambda plain, rest: (seen.extend([*plain, *rest]), encode(plain, rest))
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=12))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(70):
+            text = " ".join([*known, *(word() for _ in range(10_000))])
+            (got,) = encoder([text])
+        del text
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert kept < 64e6
+    assert len(encoder.once) <= packing.ONCE_WORDS and len(encoder.cache) + len(encoder.old) <= 2 * packing.CACHE_WORDS
+    assert all(seen.count(w.encode()) <= 2 for w in known)
+    tail = " ".join(known)
+    assert encoder([tail])[0] == np.array(tok.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
