@@ -22,7 +22,6 @@ any order; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -42,6 +41,9 @@ CACHE_WORDS, ONCE_WORDS, CACHE_LENGTH = 170_000, 100_000, 64
 RANGE_ROWS, MAX_RANGES = 256, 65_536
 _SLICE = 1 << 19
 
+#: Signs of ASCII: the tokenizer parts them from a run of letters before them.
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _worker: dict = {}
 
 
@@ -58,12 +60,48 @@ _BLANK = bytes(32 if c in (9, 10, 13) else c for c in range(256))
 _MARKS = re.compile(rb"[\xcc\xcd]")
 
 
-def _split(text: bytes) -> list[bytes]:
-    """Words of a text, A-Z lower-cased, as the tokenizer does later. It composes letters and marks before that, so words
-    with marks are left as they are."""
+def _lowered(text: bytes) -> bytes:
+    """A text, A-Z lower-cased, as the tokenizer does later. It composes letters and marks before that, so words with marks
+    are left as they are."""
     if _MARKS.search(text) is None:
-        return text.lower().split(b" ")
-    return [w if _MARKS.search(w) else w.lower() for w in text.split(b" ")]
+        return text.lower()
+    return b" ".join([w if _MARKS.search(w) else w.lower() for w in text.split(b" ")])
+
+
+def _byte_letters() -> np.ndarray:
+    """The character (16 bits) that stands for each byte in a vocabulary of bytes; the blank is left as it is."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u2")
+    out[own] = own
+    out[np.delete(np.arange(256), own)] = np.arange(256, 512 - len(own))
+    out[32] = 32
+    return out
+
+
+def _letter_ends() -> np.ndarray:
+    """For each two bytes, whether they end by a digit of ASCII or by a letter of up to two bytes that stays one when it is
+    lower-cased."""
+    out = np.zeros((256, 256), bool)
+    for c in map(chr, range(0x800)):
+        if (c.isalpha() or c.isascii() and c.isdigit()) and len(c.lower()) == 1:
+            *lead, last = c.encode()
+            out[lead or slice(None), last] = True
+    return out
+
+
+_LETTER_ENDS, _IS_SIGN = _letter_ends(), np.isin(np.arange(256), np.frombuffer(_SIGNS, np.uint8))
+
+
+def _parted(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``text`` with a blank at its end, and one before a single sign that ends a word after a letter or digit; and which of
+    its words ends by each of ``ends``. The tokenizer parts such a sign from what is before it, and so a word is the same
+    with and without it."""
+    marked = np.frombuffer(b"   " + text + b" ", np.uint8)
+    text = marked[3:]
+    after = np.flatnonzero(text == 32) + 1
+    cut = _IS_SIGN[marked[after + 1]] & _LETTER_ENDS[marked[after - 1], marked[after]]
+    words = np.searchsorted(after, ends)
+    return np.insert(text, after[cut] - 2, 32), words + np.cumsum(cut)[words]
 
 
 class WordEncoder:
@@ -74,9 +112,9 @@ class WordEncoder:
     then it waits among ``once``, of which the first half goes when it is full. Special tokens' strings in a text are
     ordinary text.
 
-    Words of letters of which normalisation changes the case alone are encoded in bulk: each
-    is one run of letters, so it has one token that ends a run, its last. All other words are encoded one by
-    one, as they are."""
+    Words of letters of which normalisation changes the case alone are one run of letters each, so they go to the
+    tokenizer's model without its normalisation and its search for runs. All other words are encoded one by one, as they
+    are. Of a slice of texts, only its distinct words become Python objects."""
 
     def __init__(self, path: str):
         import os
@@ -86,90 +124,120 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        #: Tokens that end a run of letters, digits or signs.
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.once: dict[bytes, bytes] = {}
-        #: Characters, and whether they are letters that stay one letter.
-        self.plain: dict[str, bool] = {}
+        self.bytes = _byte_letters()
+        #: Letters that stay one letter; those that do so in another form, with it; and other characters.
+        self.plain: set[str] = set()
+        self.small: dict[str, str] = {}
+        self.other: set[str] = set()
 
     def _letters(self, text: str) -> bool:
         """Whether the text is a run of letters, to the tokenizer too, of which its normalisation changes the case alone."""
-        if text.isascii():
-            return text.isalpha()
-        for c in set(text).difference(self.plain):
+        if self.plain.issuperset(text):
+            return bool(text)
+        for c in set(text) - self.plain - self.other:
             low = self.tokenizer.normalizer.normalize_str(c)
             alone = c.isalpha() and len(low) == 1 and low.isalpha()
-            self.plain[c] = alone and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{low}.")) == 2
-        return all(map(self.plain.__getitem__, text)) and unicodedata.is_normalized("NFC", text)
+            alone = alone and not "\u1160" <= c <= "\u11ff"  # vowels and ends of Hangul: no other letters join the one before
+            if alone and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{low}.")) == 2:
+                self.plain.add(c)
+                if low != c:
+                    self.small[c] = low
+            else:
+                self.other.add(c)
+        return self.plain.issuperset(text)
 
     def _encode(self, plain: dict[bytes, str], rest: dict[bytes, str]) -> None:
-        """Put words into the cache: runs of plain letters in bulk, others one by one."""
-        letters = list(plain)
+        """Put words into the cache: runs of plain letters by the model, others by the whole tokenizer."""
+        tokens, letters = self.tokenizer.model.tokenize, list(plain)
         for at in range(0, len(letters), 4096):
             part = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join([plain[w] for w in part]), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
-            if len(ends) != len(part):
-                rest.update((w, plain[w]) for w in part)
-                continue
-            packed = ids.tobytes()
-            self.cache.update(zip(part, map(packed.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            text = " ".join([plain[w] for w in part])
+            for c in self.small.keys() & set(text):
+                text = text.replace(c, self.small[c])
+            ids, ends = [], [0]
+            for w in self.bytes[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le").split(" "):
+                ids += [t.id for t in tokens(w)]
+                ends.append(4 * len(ids))
+            packed = np.array(ids, "<u4").tobytes()
+            self.cache.update(zip(part, map(packed.__getitem__, map(slice, ends, ends[1:])), strict=True))
         others = list(rest)
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([rest[w] for w in part], add_special_tokens=False)
             self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
-    def _learn(self, words: set[bytes]) -> list[bytes]:
-        """Put ``words`` into the cache; those that were encoded for it. A full stop or comma after a run of plain letters is
-        a token of its own."""
-        plain, rest, ended = {}, {w: w.decode() for w in (b".", b",") if w not in self.cache}, []
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Put ``words`` into the cache; those that were encoded for it. Signs after a run of plain letters are a run of
+        their own."""
+        plain, rest, ended, cache = {}, {}, {}, self.cache
         old, once, letters = self.old.get, self.once.pop, self._letters
 
         def found(w: bytes) -> bool:
             if (ids := old(w)) is not None or (ids := once(w, None)) is not None:
-                self.cache[w] = ids
+                cache[w] = ids
             return ids is not None
 
         for w in words:
-            if found(w):
+            if (ids := old(w)) is not None or (ids := once(w, None)) is not None:
+                cache[w] = ids
+                continue
+            if w.isalpha():  # A-Z and a-z only
+                plain[w] = w.decode()
                 continue
-            text = w.decode("utf-8", "replace")
+            text, head = w.decode("utf-8", "replace"), w.rstrip(_SIGNS)
             if letters(text):
                 plain[w] = text
-            elif text[-1:] in (".", ",") and letters(text[:-1]):
-                ended.append(w)
-                if w[:-1] not in self.cache and not found(w[:-1]):
-                    plain[w[:-1]] = text[:-1]
+            elif len(head) < len(w) and letters(text[: len(head) - len(w)]):
+                ended[w] = head
+                if head not in cache and not found(head):
+                    plain[head] = text[: len(head) - len(w)]
+                tail = w[len(head) :]
+                if tail not in cache and not found(tail):
+                    rest[tail] = tail.decode()
             else:
                 rest[w] = text
         self._encode(plain, rest)
-        for w in ended:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
-        return [*plain, *(w for w in rest if w not in plain), *ended]
+        for w, head in ended.items():
+            cache[w] = cache[head] + cache[w[len(head) :]]
+        return [*plain, *rest, *ended]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_split(t.encode("utf-8", "replace").translate(_BLANK)) for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.cache)
+        """Packed ids of each text."""
+        if not texts:
+            return []
+        split = [_lowered(t.encode("utf-8", "replace").translate(_BLANK)) for t in texts]
+        text, lasts = _parted(b" ".join(split), np.cumsum([len(t) + 1 for t in split]))
+        ends = np.flatnonzero(text == 32) + 1  # a word has the blank after it
+        offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+        told = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(text)]).dictionary_encode()
+        _, offsets, values = told.dictionary.buffers()
+        words = values.slice(0, int(np.frombuffer(offsets, np.int64)[len(told.dictionary)])).to_pybytes().split(b" ")[:-1]
+        ids = list(map(self.cache.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.old, self.cache = self.cache, {}
-            new = words
-        learned = self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+            new = range(len(words))
+        learned = self._learn([words[k] for k in new])
+        for k in new:
+            ids[k] = self.cache[words[k]]
         for w in learned:
-            ids = self.cache.pop(w)
+            own = self.cache.pop(w)
             if len(w) <= CACHE_LENGTH:
-                self.once[w] = ids
+                self.once[w] = own
         if len(self.once) > ONCE_WORDS:
             for w in list(islice(self.once, len(self.once) - ONCE_WORDS // 2)):
                 del self.once[w]
-        return out
+        # Ids of the distinct words stand one after another in ``packed``; each word of the texts takes its own from there.
+        packed, which = np.frombuffer(b"".join(ids), "<u4"), told.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        n, first = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        after = np.cumsum(n)
+        packed = packed[np.repeat(first - after + n, n) + np.arange(after[-1])]
+        bounds = [0, *after[lasts].tolist()]
+        return [packed[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -154,3 +154,55 @@ def test_memory_of_an_encoder_is_bounded():
     assert all(seen.count(w.encode()) <= 2 for w in known)
     tail = " ".join(known)
     assert encoder([tail])[0] == np.array(tok.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_letters_with_signs_after_them_spare_the_tokenizer():
+    """Runs of letters go to the model alone, whatever signs follow them; the rest, and what joins other letters, does not."""
+    encoder = packing.WordEncoder(packing._vocabulary())
+    tok, seen, encode = Tokenizer.from_file(packing._vocabulary()), set(), encoder._encode
+    tok.encode_special_tokens = True
+    encoder._encode = lambda plain, rest: (seen.update(rest), encode(plain, rest))
+    words = ["shatou$$$", "Élépa***", "orsh,%%%", "ΣΟΣ.", "rock'", "Åse!\"", "end'.'s", "$a$", "...", "it's.", "a1.", "한.", "각;", "é?", "'s", "x‍.", "İl."]
+    texts = [" ".join(words), "", " ", "\n" + "  ".join(reversed(words)) + "\t", words[0] * 900 + ",", *words]
+    for _ in range(2):
+        for text, got in zip(texts, encoder(texts), strict=True):
+            assert got == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    assert not seen & {w.encode() for w in ("shatou$$$", "orsh,%%%", "rock'", "ΣΟΣ.", "Élépa***", "élépa***")}
+    assert {b"$$$", b"***", b",%%%"} <= seen
+    assert encoder([]) == []
+
+
+def test_letters_that_join_the_letter_before():
+    """No letter that a run may have joins the one before it when text is composed, as canonical decompositions tell."""
+    import sys
+    import unicodedata
+
+    second = {chr(int(parts[1], 16)) for c in range(sys.maxunicode + 1) if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and parts[0][0] != "<"}
+    second |= {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    encoder = packing.WordEncoder(packing._vocabulary())
+    assert not [hex(ord(c)) for c in sorted(second) if c.isalpha() and encoder._letters(c) and unicodedata.normalize("NFC", c) == c]
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_slices_of_any_size_have_the_same_ids(monkeypatch, size):
+    """Caches that turn over in every slice, and slices of any size, give the tokenizer's ids."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    monkeypatch.setattr(packing, "ONCE_WORDS", 20)
+    encoder, rnd = packing.WordEncoder(packing._vocabulary()), random.Random(11)
+    tok = Tokenizer.from_file(packing._vocabulary())
+    some = ["".join(rnd.choices("abcdeABCéÉ", k=rnd.randint(1, 4))) + rnd.choice(["", "", ".", ",", "$$", "'s", "1"]) for _ in range(300)]
+    texts = [rnd.choice([" ", "  ", "\n"]).join(rnd.choices(some, k=rnd.randint(0, 9))) for _ in range(1500)]
+    for lo in range(0, len(texts), size):
+        part = texts[lo : lo + size]
+        for text, got in zip(part, encoder(part), strict=True):
+            assert got == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_a_sign_after_any_letter():
+    """Signs are parted from a word before it is looked up where the tokenizer parts them too: after every character up to U+2FFF."""
+    encoder, tok = packing.WordEncoder(packing._vocabulary()), Tokenizer.from_file(packing._vocabulary())
+    texts = [f"{before}{chr(c)}{sign}" for c in range(1, 0x3000) for before, sign in (("", "."), ("a", ","), ("\u00c9", "'"), (".", "!"), ("", "$$"))]
+    for lo in range(0, len(texts), 2000):
+        part = texts[lo : lo + 2000]
+        for text, got, want in zip(part, encoder(part), tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert got == np.array(want.ids, "<u4").tobytes(), repr(text)
